@@ -30,7 +30,7 @@ def degree_label(value: Column) -> Column:
     return F.concat(value.cast("int").cast("string"), F.lit("°C"))
 
 
-def item_text(items: Column) -> Column:
+def item_text(items: Column | str) -> Column:
     """Item set as one text: sorted, comma separated."""
     return F.array_join(F.array_sort(items), ", ")
 

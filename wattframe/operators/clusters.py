@@ -5,7 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -48,21 +50,30 @@ class KMeansFit:
     costs: list[float]
 
 
-def fit_kmeans(scaled: DataFrame, columns: Sequence[str], k: int = 3, restarts: int = 10, seed: int = 42) -> KMeansFit:
-    """Best of several starts by cost. All starts iterate over the same persisted vectors."""
+def fit_kmeans(scaled: DataFrame, columns: Sequence[str], k: int = 3, restarts: int = 10, seed: int = 42,
+               max_iterations: int = 300, parallel: int = 5) -> KMeansFit:
+    """Best of several starts by cost.
+
+    All starts iterate over the same persisted vectors; a few run at a time, so that the short jobs of one
+    start fill the pauses of another.
+    """
     check_k(k)
     vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled).select("features")
     vectors = vectors.persist()
+    session = scaled.sparkSession
+
+    def fit(start: int) -> tuple[float, list[list[float]]]:
+        model = KMeans(featuresCol="features", k=k, seed=seed + start, maxIter=max_iterations).fit(vectors)
+        return model.summary.trainingCost, [list(map(float, c)) for c in model.clusterCenters()]
+
     try:
-        best, costs = None, []
-        for start in range(restarts):
-            model = KMeans(featuresCol="features", k=k, seed=seed + start).fit(vectors)
-            costs.append(model.summary.trainingCost)
-            if best is None or costs[-1] < min(costs[:-1]):
-                best = model
-        return KMeansFit([list(map(float, c)) for c in best.clusterCenters()], min(costs), costs)
+        vectors.count()
+        with ThreadPool(max(1, min(parallel, restarts))) as pool:
+            fits = pool.map(inheritable_thread_target(session)(fit), range(restarts))
     finally:
         vectors.unpersist()
+    cost, centers = min(fits)
+    return KMeansFit(centers, cost, [c for c, _ in fits])
 
 
 def squared_distance(columns: Sequence[str], center: Sequence[float]) -> Column:
@@ -156,19 +167,17 @@ def cluster_profile(numbered: DataFrame, centers: Centers, columns: Sequence[str
     )
 
 
-def silhouette_sampled(assigned: DataFrame, columns: Sequence[str], key: Sequence[str], rows: int = SILHOUETTE_ROWS,
-                       seed: int = 42, order: Column | None = None, cluster: str = "cluster") -> DataFrame:
+def silhouette_sampled(assigned: DataFrame, columns: Sequence[str], key: Sequence[str], clusters: Sequence[int],
+                       rows: int = SILHOUETTE_ROWS, seed: int = 42, order: Column | None = None) -> DataFrame:
     """One row: Euclidean silhouette over a sample of at most `rows` rows (a property of the measure itself).
 
     The sample of each cluster becomes one array of at most `rows` points. Every sampled row then meets each
     cluster once and sums its distances inside that array, so no row pairs are ever produced.
     """
     chosen = sample_rows(assigned, key, rows, seed, order).select(
-        *key, F.col(cluster).alias("own"), *[F.col(c).cast("double").alias(c) for c in columns])
-    chosen = chosen.repartition(32, *key)
-    point = F.struct(*columns)
+        F.col("cluster").alias("own"), *[F.col(c).cast("double").alias(c) for c in columns])
     members = chosen.groupBy(F.col("own").alias("other")).agg(
-        F.collect_list(point).alias("points"), F.count(F.lit(1)).alias("size"))
+        F.collect_list(F.struct(*columns)).alias("points"), F.count(F.lit(1)).alias("size"))
 
     def distance(p: Column) -> Column:
         total = F.lit(0.0)
@@ -176,19 +185,22 @@ def silhouette_sampled(assigned: DataFrame, columns: Sequence[str], key: Sequenc
             total = total + (p[c] - F.col(c)) * (p[c] - F.col(c))
         return F.sqrt(total)
 
-    known = [row["other"] for row in members.select("other").collect()]
-    meetings = chosen.withColumn("other", F.explode(F.array(*[F.lit(c) for c in known]))).join(
-        F.broadcast(members), "other")
+    meetings = (
+        chosen.repartition(32).withColumn("row", F.monotonically_increasing_id())
+        .withColumn("other", F.explode(F.array(*[F.lit(c) for c in clusters])))
+        .join(F.broadcast(members), "other")
+    )
     summed = meetings.select(
-        *key, *columns, "own", "other", "size",
+        "row", "own", "other", "size",
         F.aggregate("points", F.lit(0.0), lambda acc, p: acc + distance(p)).alias("d"),
     )
     same = F.col("own") == F.col("other")
-    per_row = summed.groupBy(*key, *columns, "own").agg(
+    per_row = summed.groupBy("row").agg(
         F.max(F.when(same, F.col("size"))).alias("own_size"),
         F.max(F.when(same, F.try_divide(F.col("d"), F.col("size") - 1))).alias("a"),
         F.min(F.when(~same, F.col("d") / F.col("size"))).alias("b"),
     )
+    # a row alone in its cluster scores 0
     score = F.when(F.col("own_size") == 1, 0.0).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
     return per_row.agg(F.count(F.lit(1)).alias("sampled"), half_up(F.avg(score), 3).alias("silhouette"))

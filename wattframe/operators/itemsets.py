@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wattframe.errors import ArgumentError
 from wattframe.functions.labels import item_text
+from wattframe.functions.numbers import half_up
 from wattframe.roles import METERED, Roles
 from wattframe.session import materialize
 
@@ -53,6 +54,12 @@ class ItemSets:
     items: int
     small: bool
 
+    def with_support(self, digits: int = 4) -> DataFrame:
+        """(items as text, n, support)."""
+        return self.sets.select(
+            item_text(F.col("items")).alias("items"), "n",
+            half_up(_support(self.transactions), digits).alias("support"))
+
 
 def _support(transactions: int) -> Column:
     return F.col("n") / F.lit(max(transactions, 1))
@@ -144,8 +151,8 @@ def top_rules(rules: DataFrame, limit: int = 200) -> DataFrame:
     # the window numbers at most `limit` rows
     return top.select(
         F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*ranking)).alias("position"),
-        "antecedent", "consequent", F.round("support", 4).alias("support"),
-        F.round("confidence", 4).alias("confidence"), F.round("lift", 3).alias("lift"),
+        "antecedent", "consequent", half_up(F.col("support"), 4).alias("support"),
+        half_up(F.col("confidence"), 4).alias("confidence"), half_up(F.col("lift"), 3).alias("lift"),
     )
 
 

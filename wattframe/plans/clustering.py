@@ -50,7 +50,7 @@ def _profiles(scaled: DataFrame, roles: Roles, k: int, restarts: int) -> Profile
     key = roles.key or roles.cluster_numeric
     reports = {
         "profile": cluster_profile(numbered, centers, roles=roles),
-        "silhouette": silhouette_sampled(numbered, columns, key),
+        "silhouette": silhouette_sampled(numbered, columns, key, range(1, k + 1)),
         "variance": pca_variance(scaled, projection),
         "scatter": pca_scatter(numbered, projection, key, order=row_hash(key)),
     }
@@ -64,6 +64,6 @@ def k_sweep(cleaned: DataFrame, roles: Roles = METERED, restarts: int = 10) -> D
     rows = []
     for k in ALLOWED_K:
         fit = fit_kmeans(scaled, columns, k, restarts)
-        score = silhouette_sampled(assign_centers(scaled, columns, fit.centers), columns, key).first()
+        score = silhouette_sampled(assign_centers(scaled, columns, fit.centers), columns, key, range(k)).first()
         rows.append((k, score["silhouette"], round(fit.cost, 1)))
     return cleaned.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")
