@@ -21,7 +21,7 @@ def test_filling_can_create_duplicates_that_stay(spark):
     df = raw(spark, [("A", GOOD, 1.0, "Low"), ("A", GOOD, None, "Low")])
     cleaned = C.clean(df, ROLES)
     assert cleaned.rows.count() == 2
-    after = {r["stage"]: r for r in P.before_after(df, cleaned.rows).collect()}["after"]
+    after = {r["stage"]: r for r in P.before_after(cleaned).collect()}["after"]
     assert (after["duplicates"], after["missing_total"]) == (1, 0)
 
 
@@ -85,7 +85,7 @@ def test_empty_table(spark):
     cleaned = C.clean(df, ROLES)
     assert cleaned.rows.count() == 0
     assert P.missing_profile(df).count() == 0
-    assert [r["row_count"] for r in P.before_after(df, cleaned.rows).collect()] == [0, 0]
+    assert [r["row_count"] for r in P.before_after(cleaned).collect()] == [0, 0]
 
 
 def test_leaky_features_are_refused():

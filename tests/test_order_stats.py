@@ -26,7 +26,7 @@ CASES = {
     "outlier": [1e300, *[float(i) / 7 for i in range(501)]],
     "both ends": [-1.7e308, 1.7e308, 1.0, 2.0],
     "two far middles": [0.0, 0.0, 1e9, 1e9],
-    "neighbouring doubles": [1.0, np.nextafter(1.0, 2.0), np.nextafter(1.0, 2.0), 1.0],
+    "neighbouring doubles": [1.0, float(np.nextafter(1.0, 2.0)), float(np.nextafter(1.0, 2.0)), 1.0],
     "tiny": [5e-324, 1e-323, 0.0, 0.0, 1e-323],
     "negative": [-3.0, -2.0, -1.0, -0.0],
 }

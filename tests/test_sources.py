@@ -6,7 +6,7 @@ from wattframe.session import materialize, scratch_dir
 from wattframe.sources.csv_files import METERED_SCHEMA, NULL_TOKENS, read_csv
 from wattframe.sources.store import fingerprint, ingest, load_table, signature, write_table
 
-SCHEMA = T.StructType().add("name", "string").add("reading", "double").add("hour", "int")
+SCHEMA = T.StructType().add("name", "string").add("reading", "double").add("hour", "integer")
 
 
 def test_csv_null_tokens_and_bad_numbers(spark, tmp_path):

@@ -102,11 +102,12 @@ def impute_mode(df: DataFrame, roles: Roles = METERED) -> DataFrame:
 
 @dataclass(frozen=True)
 class Cleaned:
-    """Cleaned rows, the log of what was done, and the fill values used."""
+    """Cleaned rows, the log of what was done, the fill values used, and the distinct raw rows with their copies."""
 
     rows: DataFrame
     log: DataFrame
     fills: Mapping[str, float | str]
+    distinct: DataFrame
 
 
 def clean(raw: DataFrame, roles: Roles = METERED, formats: Sequence[str] = ()) -> Cleaned:
@@ -115,7 +116,8 @@ def clean(raw: DataFrame, roles: Roles = METERED, formats: Sequence[str] = ()) -
     The distinct rows are written once. Counting gaps reads them once; fill values are then computed only for
     columns that have a gap, each pass reading just those columns. The result is a projection of that table.
     """
-    distinct = coerce_numeric(materialize(count_copies(null_nans(raw)), "distinct"), roles)
+    stored = materialize(count_copies(null_nans(raw)), "distinct")
+    distinct = coerce_numeric(stored, roles)
     numbers, texts = numeric_columns(distinct, roles), text_columns(distinct, roles)
     fillable = [c for c in raw.columns if c in numbers or c in texts]
     stamp = parsed_timestamp(F.col(roles.timestamp), formats)
@@ -139,4 +141,4 @@ def clean(raw: DataFrame, roles: Roles = METERED, formats: Sequence[str] = ()) -
         [(i, *entry) for i, entry in enumerate(entries)],
         "position int, step string, column string, count long, rule string",
     )
-    return Cleaned(rows, log, fills)
+    return Cleaned(rows, log, fills, stored)

@@ -52,7 +52,7 @@ class KMeansFit:
 
 def fit_kmeans(scaled: DataFrame, columns: Sequence[str], k: int = 3, restarts: int = 10, seed: int = 42,
                max_iterations: int = 300, parallel: int = 5) -> KMeansFit:
-    """Best of several starts by cost.
+    """Best of several starts by cost. A start ends when the centers together move by less than 0.01.
 
     All starts iterate over the same persisted vectors; a few run at a time, so that the short jobs of one
     start fill the pauses of another.
@@ -63,7 +63,8 @@ def fit_kmeans(scaled: DataFrame, columns: Sequence[str], k: int = 3, restarts:
     session = scaled.sparkSession
 
     def fit(start: int) -> tuple[float, list[list[float]]]:
-        model = KMeans(featuresCol="features", k=k, seed=seed + start, maxIter=max_iterations).fit(vectors)
+        kmeans = KMeans(featuresCol="features", k=k, seed=seed + start, maxIter=max_iterations, tol=0.01 / math.sqrt(k))
+        model = kmeans.fit(vectors)
         return model.summary.trainingCost, [list(map(float, c)) for c in model.clusterCenters()]
 
     try:

@@ -69,7 +69,7 @@ def floor_area_defaults(df: DataFrame, roles: Roles = METERED) -> DataFrame:
 
 
 def with_floor_area(df: DataFrame, defaults: DataFrame, roles: Roles = METERED) -> DataFrame:
-    """Fills a missing floor area by type. Adaptive execution picks the join from the measured size."""
+    """Fills a missing floor area by type. The defaults say themselves whether they may be broadcast."""
     filled = defaults.withColumnRenamed(roles.floor_area, "_default_area")
     return (
         df.join(filled, roles.entity_type, "left")

@@ -103,7 +103,8 @@ def quantiles(rows: DataFrame, group: str, value: str, fraction: float = 0.5, ou
         weight = (size - 1) * fraction - (first - 1)
         result.append((key, by_rank[first] + (by_rank[second] - by_rank[first]) * weight))
     kind = rows.schema[group].dataType.simpleString()
-    return rows.sparkSession.createDataFrame(result, f"`{group}` {kind}, `{output}` double")
+    # at most MAX_GROUPS rows, which a join may broadcast
+    return F.broadcast(rows.sparkSession.createDataFrame(result, f"`{group}` {kind}, `{output}` double"))
 
 
 def _quantiles_of_many_groups(rows: DataFrame, group: str, value: str, fraction: float, output: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Many grouped aggregates from one scan.
 
-All series of a dashboard share one `GROUPING SETS` aggregation: rows are expanded in memory, combined before
-the shuffle, and the shuffle carries one row per group and task. The few group rows then become long rows
-`(panel, sort_key, label, value)`; a second, small aggregation picks the extremes.
+All series of a dashboard share one `GROUPING SETS` aggregation over a few bundles of keys: rows are expanded once
+per bundle in memory and combined before the shuffle, which carries one row per cell and task. Keys with small,
+fixed domains (month, hour, label, percent bin) share a bundle, so that there are fewer copies of each row than
+series; a key whose domain grows with the data (an entity) is a bundle of its own. Everything after that works
+on cells: they are summed per key, become long rows `(panel, sort_key, label, value)`, and a last small
+aggregation picks the extremes.
 """
 
 from __future__ import annotations
@@ -92,20 +95,68 @@ def _of_group(spec: Series | Extreme | GroupCount, position: int) -> Column:
     return _entry(panel, sort_key, spec.label(key), half_up(value.cast("double"), 2))
 
 
-def panel_bundle(df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column], specs: Sequence[Spec]) -> DataFrame:
-    """`keys` are grouping columns of `df`; every spec reads one of them (or all rows) and one aggregate."""
+@dataclass(frozen=True)
+class Measure:
+    """Sum or average of a column, or the number of rows."""
+
+    kind: str
+    column: str = ""
+
+    def of_cells(self) -> Column:
+        if self.kind == "count":
+            return F.col("_n")
+        total = F.col(f"_sum_{self.column}")
+        return total if self.kind == "sum" else F.try_divide(total, F.col(f"_n_{self.column}"))
+
+
+def _cells(df: DataFrame, bundles: Sequence[Sequence[str]], keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Sums and counts per cell of each bundle; `_bundle` tells which one."""
+    parts = [F.count(F.lit(1)).alias("_n")]
+    for c in columns:
+        parts += [F.sum(c).alias(f"_sum_{c}"), F.count(c).alias(f"_n_{c}")]
+    cells = df.groupingSets([list(b) for b in bundles], *keys).agg(F.grouping_id().alias("_gid"), *parts)
+    bundle = F.lit(None).cast("int")
+    for i, members in enumerate(bundles):
+        gid = sum(1 << (len(keys) - 1 - j) for j, key in enumerate(keys) if key not in members)
+        bundle = F.when(F.col("_gid") == gid, F.lit(i)).otherwise(bundle)
+    return cells.withColumn("_bundle", bundle)
+
+
+def _per_key(cells: DataFrame, bundles: Sequence[Sequence[str]], keys: Sequence[str],
+             columns: Sequence[str]) -> DataFrame:
+    """Cells summed up per value of each single key (`_key` names it), and over all rows (`_key` is '')."""
+    types = {f.name: f.dataType for f in cells.schema}
+
+    def only(name: str) -> Column:
+        values = [(F.col(k) if k == name else F.lit(None).cast(types[k])).alias(k) for k in keys]
+        return F.struct(F.lit(name).alias("_key"), *values)
+
+    wanted = F.when(F.col("_bundle") == 0, F.array(only(""), *[only(k) for k in bundles[0]]))
+    for i, members in enumerate(bundles[1:], start=1):
+        wanted = wanted.when(F.col("_bundle") == i, F.array(*[only(k) for k in members]))
+    sums = ["_n", *[f"_{kind}_{c}" for c in columns for kind in ("sum", "n")]]
+    return (
+        cells.select(F.explode(wanted).alias("_k"), *sums).select("_k.*", *sums)
+        .groupBy("_key", *keys).agg(*[F.sum(x).alias(x) for x in sums])
+    )
+
+
+def panel_bundle(df: DataFrame, bundles: Sequence[Sequence[str]], measures: dict[str, Measure],
+                 specs: Sequence[Spec]) -> DataFrame:
+    """Every spec reads one key of one bundle (or all rows) and one measure."""
     spark = df.sparkSession
-    groups = df.groupingSets([[], *[[k] for k in keys]], *keys).agg(
-        F.grouping_id().alias("_gid"), *[a.alias(n) for n, a in aggregates.items()])
-    everything = (1 << len(keys)) - 1
+    keys = [k for b in bundles for k in b]
+    columns = list(dict.fromkeys(m.column for m in measures.values() if m.column))
+    groups = _per_key(_cells(df, bundles, keys, columns), bundles, keys, columns)
+    groups = groups.select("_key", *keys, *[m.of_cells().alias(n) for n, m in measures.items()])
     grand = [
         _entry("kpi", F.lit(i), F.lit(s.name), F.coalesce(F.col(s.value).cast("double"), F.lit(0.0)))
         for i, s in enumerate(specs) if isinstance(s, Kpi)
     ]
-    choices = F.when(F.col("_gid") == everything, F.array(*grand))
-    for i, key in enumerate(keys):
+    choices = F.when(F.col("_key") == "", F.array(*grand))
+    for key in keys:
         rows = [_of_group(s, p) for p, s in enumerate(specs) if not isinstance(s, Kpi) and s.key == key]
-        choices = choices.when(F.col("_gid") == everything - (1 << (len(keys) - 1 - i)), F.array(*rows))
+        choices = choices.when(F.col("_key") == key, F.array(*rows))
     # without any input row there is no group either: KPIs then come from these defaults
     defaults = []
     for i, s in enumerate(specs):

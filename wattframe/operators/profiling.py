@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions.numbers import half_up, ratio_or_zero
-from wattframe.operators.cleaning import COPIES, count_copies
+from wattframe.operators.cleaning import COPIES, Cleaned, count_copies
 from wattframe.operators.encoding import Scaler, domain_rows, fit_scaler
 from wattframe.roles import METERED, Roles
 
@@ -29,20 +29,23 @@ def missing_profile(df: DataFrame) -> DataFrame:
     return _rows(row, entries).where(F.col("missing") > 0)
 
 
-def table_summary(df: DataFrame, stage: str) -> DataFrame:
-    """(stage, row_count, column_count, missing_total, duplicates) from one pass over the distinct rows."""
-    gaps = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in df.columns), F.lit(0))
-    return count_copies(df).agg(
+def table_summary(distinct: DataFrame, stage: str) -> DataFrame:
+    """(stage, row_count, column_count, missing_total, duplicates) from distinct rows with their copies."""
+    columns = [c for c in distinct.columns if c != COPIES]
+    gaps = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in columns), F.lit(0))
+    return distinct.agg(
         F.lit(stage).alias("stage"),
         F.coalesce(F.sum(COPIES), F.lit(0)).alias("row_count"),
-        F.lit(len(df.columns)).cast("bigint").alias("column_count"),
+        F.lit(len(columns)).cast("bigint").alias("column_count"),
         F.coalesce(F.sum(F.col(COPIES) * gaps), F.lit(0)).alias("missing_total"),
         F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("duplicates"),
     )
 
 
-def before_after(raw: DataFrame, cleaned: DataFrame) -> DataFrame:
-    return table_summary(raw, "before").unionAll(table_summary(cleaned, "after"))
+def before_after(cleaned: Cleaned) -> DataFrame:
+    """The raw side needs no second shuffle: cleaning has left its distinct rows."""
+    after = table_summary(count_copies(cleaned.rows), "after")
+    return table_summary(cleaned.distinct, "before").unionAll(after)
 
 
 def timestamp_range(raw: DataFrame, cleaned: DataFrame, roles: Roles = METERED) -> DataFrame:

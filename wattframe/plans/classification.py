@@ -30,7 +30,7 @@ def classification_report(cleaned: DataFrame, roles: Roles = METERED, model: Pip
     """Fits on the train side (unless a model is given) and reports on the test side."""
     needed = [*roles.key, *roles.class_numeric, *roles.class_categorical, roles.category]
     key = roles.key or tuple(needed)
-    sides = materialize(split_stratified(cleaned.select(*dict.fromkeys(needed)), key, roles.category), "sides")
+    sides = materialize(split_stratified(cleaned.select(*dict.fromkeys(needed)), key, roles.category), "sides", spread=True)
     model = model or T.fit_tree(sides.where("side = 'train'"), roles, **tree)
     # both sides are scored once; all metrics read the few columns kept
     scored = materialize(T.predict_category(sides, model).select("side", roles.category, "predicted"), "scored")

@@ -39,7 +39,7 @@ def scaled_rows(cleaned: DataFrame, roles: Roles = METERED) -> DataFrame:
 def cluster_profiles(cleaned: DataFrame, roles: Roles = METERED, k: int | str = 3, restarts: int = 10) -> Profiles:
     """Scaled rows are written once; starts, silhouette, projection and profile read them."""
     k = check_k(k)
-    return _profiles(materialize(scaled_rows(cleaned, roles), "scaled"), roles, k, restarts)
+    return _profiles(materialize(scaled_rows(cleaned, roles), "scaled", spread=True), roles, k, restarts)
 
 
 def _profiles(scaled: DataFrame, roles: Roles, k: int, restarts: int) -> Profiles:
@@ -59,7 +59,7 @@ def _profiles(scaled: DataFrame, roles: Roles, k: int, restarts: int) -> Profile
 
 def k_sweep(cleaned: DataFrame, roles: Roles = METERED, restarts: int = 10) -> DataFrame:
     """(k, silhouette, inertia) for every allowed k."""
-    scaled = materialize(scaled_rows(cleaned, roles), "scaled")
+    scaled = materialize(scaled_rows(cleaned, roles), "scaled", spread=True)
     columns, key = z_columns(roles), roles.key or roles.cluster_numeric
     rows = []
     for k in ALLOWED_K:

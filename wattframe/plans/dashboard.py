@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattframe.functions.bins import nearest_bin
 from wattframe.functions.labels import degree_label, hour_label, month_label, percent_label
 from wattframe.operators.filters import apply_filters
-from wattframe.operators.panels import Extreme, GroupCount, Kpi, Series, panel_bundle
+from wattframe.operators.panels import Extreme, GroupCount, Kpi, Measure, Series, panel_bundle
 from wattframe.roles import METERED, Roles
 
 
@@ -20,18 +20,19 @@ def _with_bins(df: DataFrame, roles: Roles) -> DataFrame:
     })
 
 
-def _aggregates(roles: Roles) -> dict[str, Column]:
+def _measures(roles: Roles) -> dict[str, Measure]:
     return {
-        "n": F.count(F.lit(1)), "energy": F.sum(roles.measure), "avg_energy": F.avg(roles.measure),
-        "cost": F.sum(roles.cost), "co2": F.sum(roles.co2), "avg_occupancy": F.avg(roles.occupancy),
+        "n": Measure("count"), "energy": Measure("sum", roles.measure), "avg_energy": Measure("avg", roles.measure),
+        "cost": Measure("sum", roles.cost), "co2": Measure("sum", roles.co2),
+        "avg_occupancy": Measure("avg", roles.occupancy),
     }
 
 
 def dashboard_panels(df: DataFrame, roles: Roles = METERED, **filters: str | int | None) -> DataFrame:
     """Seven KPIs and six series over the rows that match the filters."""
     rows = _with_bins(apply_filters(df, roles, **filters), roles)
-    keys = [roles.month, roles.hour, roles.entity, roles.category, "occupancy_bin", "temperature_bin"]
-    return panel_bundle(rows, keys, _aggregates(roles), [
+    bundles = [[roles.month, roles.hour], [roles.entity], [roles.category, "occupancy_bin", "temperature_bin"]]
+    return panel_bundle(rows, bundles, _measures(roles), [
         Kpi("records", "n"), Kpi("total_energy", "energy"), Kpi("avg_energy", "avg_energy"),
         Kpi("total_cost", "cost"), Kpi("total_co2", "co2"), Kpi("avg_occupancy", "avg_occupancy"),
         Extreme("top_building", roles.entity, "energy"),
@@ -46,9 +47,9 @@ def dashboard_panels(df: DataFrame, roles: Roles = METERED, **filters: str | int
 
 def analysis_panels(df: DataFrame, roles: Roles = METERED) -> DataFrame:
     """Eleven statistics and eight series over all rows."""
-    keys = [roles.month, roles.hour, roles.entity, "occupancy_bin", "temperature_bin", "hvac_bin"]
-    aggregates = {**_aggregates(roles), "avg_temperature": F.avg(roles.temperature)}
-    return panel_bundle(_with_bins(df, roles), keys, aggregates, [
+    bundles = [[roles.month, roles.hour], [roles.entity], ["occupancy_bin", "hvac_bin"], ["temperature_bin"]]
+    measures = {**_measures(roles), "avg_temperature": Measure("avg", roles.temperature)}
+    return panel_bundle(_with_bins(df, roles), bundles, measures, [
         Kpi("records", "n"), GroupCount("buildings", roles.entity),
         Kpi("avg_temperature", "avg_temperature"), Kpi("avg_occupancy", "avg_occupancy"),
         Kpi("total_cost", "cost"), Kpi("total_co2", "co2"),

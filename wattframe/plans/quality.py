@@ -8,6 +8,7 @@ from wattframe.operators import profiling as P
 from wattframe.operators.cleaning import clean
 from wattframe.operators.encoding import fit_scaler
 from wattframe.roles import METERED, Roles
+from wattframe.session import materialize
 
 
 def quality_report(raw: DataFrame, roles: Roles = METERED) -> dict[str, DataFrame]:
@@ -15,7 +16,7 @@ def quality_report(raw: DataFrame, roles: Roles = METERED) -> dict[str, DataFram
     cleaned = clean(raw, roles)
     rows = cleaned.rows
     scaler = fit_scaler(rows, roles.scaled_columns)
-    summary = P.before_after(raw, rows)
+    summary = materialize(P.before_after(cleaned), "summary")
     stamps = P.timestamp_range(raw, rows, roles)
     return {
         "before": summary.where("stage = 'before'"),

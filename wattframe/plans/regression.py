@@ -30,7 +30,7 @@ def regression_report(cleaned: DataFrame, roles: Roles = METERED, model: Pipelin
     needed = list(dict.fromkeys(
         [*roles.key, *roles.regression_numeric, *roles.regression_categorical, roles.measure]))
     key = roles.key or tuple(needed)
-    sides = materialize(split_random(cleaned.select(*needed), key), "sides")
+    sides = materialize(split_random(cleaned.select(*needed), key), "sides", spread=True)
     model = model or T.fit_forest(sides.where("side = 'train'"), roles, **forest)
     kept = list(dict.fromkeys([*key, roles.hour, roles.measure, "predicted"]))
     test = materialize(T.predict_energy(sides.where("side = 'test'"), model).select(*kept), "scored")

@@ -55,6 +55,21 @@ class ImportStatus:
     rows: int
 
 
+def _stamp_path(path: str) -> str:
+    return f"{path.rstrip('/')}.stamp"
+
+
+def _stored_stamp(spark: SparkSession, path: str) -> str | None:
+    if not (table_exists(spark, path) and table_exists(spark, _stamp_path(path))):
+        return None
+    row = spark.read.parquet(_stamp_path(path)).first()
+    return row["signature"] if row else None
+
+
+def _write_stamp(spark: SparkSession, path: str, text: str) -> None:
+    write_table(spark.createDataFrame([(text,)], "signature string"), _stamp_path(path))
+
+
 def ingest(
     spark: SparkSession,
     source: Callable[[], DataFrame],
@@ -63,10 +78,16 @@ def ingest(
 ) -> ImportStatus:
     """Write the source once; a later call writes again only when the source's fingerprint has changed.
 
-    A comparison of row counts would keep a stale table when values change but the count does not.
+    A comparison of row counts would keep a stale table when values change but the count does not. The
+    fingerprint is kept in a stamp beside the table, so that the table itself is not read. The stamp is cleared
+    first and written last: an import that dies half way is done again.
     """
-    wanted = fingerprint(source()).first()
-    if table_exists(spark, path) and fingerprint(load_table(spark, path)).first() == wanted:
+    rows = source()
+    wanted = fingerprint(rows).first()
+    text = "-".join(str(v) for v in wanted)
+    if _stored_stamp(spark, path) == text:
         return ImportStatus(False, wanted["row_count"])
-    write_table(source(), path, sort_by)
+    _write_stamp(spark, path, "")
+    write_table(rows, path, sort_by)
+    _write_stamp(spark, path, text)
     return ImportStatus(True, wanted["row_count"])

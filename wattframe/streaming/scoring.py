@@ -28,10 +28,14 @@ def score_stream(
     """
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        checked = validate(batch, error)
-        good = as_numbers(checked.where(F.col("error").isNull()).drop("error"), numbers)
-        score(good).write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-        checked.where(F.col("error").isNotNull()).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+        # kept for the two writes, so that the source is read and checked once
+        checked = validate(batch, error).persist()
+        try:
+            good = as_numbers(checked.where(F.col("error").isNull()).drop("error"), numbers)
+            score(good).write.mode("overwrite").parquet(f"{good_path}/batch={number}")
+            checked.where(F.col("error").isNotNull()).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+        finally:
+            checked.unpersist()
 
     writer = arriving.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -169,8 +169,7 @@ def clean_log(spark, sf_dir):
 
 @query("before_after", CLEAN + "SELECT * FROM summary")
 def before_after(spark, sf_dir):
-    raw = readings_raw(spark, sf_dir)
-    return P.before_after(raw, C.clean(raw, RAW).rows)
+    return P.before_after(C.clean(readings_raw(spark, sf_dir), RAW))
 
 
 @query("timestamp_range", CLEAN + """SELECT 'string' AS type_before, 'timestamp_ntz' AS type_after,
@@ -193,7 +192,7 @@ UNION ALL SELECT 6, 'Feature selection', 'Target-derived columns and identifiers
 def step_log(spark, sf_dir):
     raw = readings_raw(spark, sf_dir)
     cleaned = C.clean(raw, RAW)
-    return P.step_log(P.before_after(raw, cleaned.rows), cleaned.log, P.timestamp_range(raw, cleaned.rows, RAW), RAW)
+    return P.step_log(P.before_after(cleaned), cleaned.log, P.timestamp_range(raw, cleaned.rows, RAW), RAW)
 
 
 @query("category_domains", R + " UNION ALL ".join(

@@ -282,7 +282,7 @@ def score_energy(spark, sf_dir):
 
 def _tree(spark, sf_dir):
     sides = split_stratified(readings(spark, sf_dir), READINGS.key, READINGS.category)
-    sides = materialize(sides, "sides")
+    sides = materialize(sides, "sides", spread=True)
     return sides, T.fit_tree(sides.where("side = 'train'"), READINGS)
 
 
@@ -311,7 +311,7 @@ def score_category(spark, sf_dir):
 
 
 def _forest(spark, sf_dir):
-    sides = materialize(split_random(readings(spark, sf_dir), READINGS.key), "sides")
+    sides = materialize(split_random(readings(spark, sf_dir), READINGS.key), "sides", spread=True)
     return sides, T.fit_forest(sides.where("side = 'train'"), READINGS, **FOREST)
 
 

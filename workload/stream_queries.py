@@ -61,7 +61,7 @@ def batch_rollup(spark, sf_dir):
        f"SELECT reading_id, {_CLASS_ERROR} AS error, error IS NULL AS scored FROM records, domains")
 def stream_scoring(spark, sf_dir):
     """Every record is either scored by the tree or quarantined with its error."""
-    history = materialize(split_stratified(readings(spark, sf_dir), READINGS.key, READINGS.category), "history")
+    history = materialize(split_stratified(readings(spark, sf_dir), READINGS.key, READINGS.category), "history", spread=True)
     model = T.fit_tree(history.where("side = 'train'"), READINGS)
     good, bad = scratch_dir(spark, "scored"), scratch_dir(spark, "quarantine")
     score_stream(
