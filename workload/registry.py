@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wattframe.functions.numbers import TIE_SLACK
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -23,4 +25,4 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def half_up_sql(value: str, digits: int) -> str:
-    return f"(sign({value}) * floor(abs({value}) * 1e{digits} + 0.5) / 1e{digits} + 0.0)"
+    return f"(sign({value}) * floor(abs({value}) * 1e{digits} + {0.5 + TIE_SLACK}::DOUBLE) / 1e{digits} + 0.0)"
