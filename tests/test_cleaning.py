@@ -1,12 +1,15 @@
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from wattframe.errors import LeakageError
+from wattframe.functions.times import utc_instant, utc_wall_time
 from wattframe.operators import cleaning as C
 from wattframe.operators import profiling as P
 from wattframe.operators.encoding import fit_scaler
 from wattframe.roles import METERED
+from wattframe.streaming.rollup import hourly_rollup
 
 ROLES = replace(METERED, key=())
 SCHEMA = "building_name string, timestamp string, temperature_c double, occupancy_level string"
@@ -64,10 +67,10 @@ def test_clean_twice_changes_nothing(spark):
 
 
 def test_explicit_timestamp_formats(spark):
-    df = raw(spark, [("A", "31/01/2024 07:30", 1.0, "Low"), ("B", GOOD, 1.0, "Low"), ("C", "soon", 1.0, "Low")])
+    df = raw(spark, [("A", "10/03/2024 02:30", 1.0, "Low"), ("B", GOOD, 1.0, "Low"), ("C", "soon", 1.0, "Low")])
     rows = C.clean(df, ROLES, formats=("dd/MM/yyyy HH:mm",)).rows.collect()
     assert {r["building_name"]: str(r["timestamp"]) for r in rows} == {
-        "A": "2024-01-31 07:30:00", "B": "2024-01-01 05:00:00"}
+        "A": "2024-03-10 02:30:00", "B": "2024-01-01 05:00:00"}
 
 
 def test_constant_column(spark):
@@ -94,3 +97,21 @@ def test_leaky_features_are_refused():
         METERED.check_features(["temperature_c", "co2_kg"])
     with pytest.raises(LeakageError):
         replace(METERED, key=("reading_id",)).check_features(["reading_id"])
+
+
+WALL_TIMES = ["2024-03-10 02:30:15.25", "2024-11-03 01:30:00", "1969-12-31 23:59:59.999999", "2262-01-01 00:00:00"]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_times_do_not_depend_on_the_session_zone(spark, zone):
+    """New York skips 02:30 on the first date and repeats 01:30 on the second."""
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([(t,) for t in WALL_TIMES], "t string").withColumn(
+            "t", F.col("t").cast("timestamp_ntz"))
+        back = df.select(utc_wall_time(utc_instant(F.col("t"))).cast("string")).collect()
+        assert [r[0] for r in back] == WALL_TIMES
+        rolled = hourly_rollup(df.selectExpr("t AS timestamp", "1D AS energy_consumption_kwh"), ROLES).collect()
+        assert sorted(str(r["hour_start"]) for r in rolled) == sorted(t[:13] + ":00:00" for t in WALL_TIMES)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

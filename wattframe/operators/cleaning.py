@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wattframe.functions.numbers import nan_to_null, to_number
+from wattframe.functions.times import parse_wall_time
 from wattframe.operators.order_stats import long_form, most_frequent, quantiles
 from wattframe.roles import METERED, Roles
 from wattframe.session import materialize
@@ -59,7 +60,7 @@ def coerce_numeric(df: DataFrame, roles: Roles = METERED) -> DataFrame:
 def parsed_timestamp(value: Column, formats: Sequence[str] = ()) -> Column:
     """ISO text, or the given formats in turn; null when none fits."""
     tries = [value.try_cast("timestamp_ntz")]
-    tries += [F.try_to_timestamp(value, F.lit(f)).cast("timestamp_ntz") for f in formats]
+    tries += [parse_wall_time(value, f) for f in formats]
     return F.coalesce(*tries)
 
 

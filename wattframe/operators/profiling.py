@@ -53,8 +53,8 @@ def timestamp_range(raw: DataFrame, cleaned: DataFrame, roles: Roles = METERED)
     stamp = F.col(roles.timestamp)
     return cleaned.agg(
         F.lit(types[0]).alias("type_before"), F.lit(types[1]).alias("type_after"),
-        F.date_format(F.min(stamp), "yyyy-MM-dd HH:mm:ss").alias("first_timestamp"),
-        F.date_format(F.max(stamp), "yyyy-MM-dd HH:mm:ss").alias("last_timestamp"),
+        F.min(stamp).cast("string").alias("first_timestamp"),
+        F.max(stamp).cast("string").alias("last_timestamp"),
     )
 
 

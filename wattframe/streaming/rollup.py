@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from wattframe.functions.times import utc_instant, utc_wall_time
 from wattframe.roles import METERED, Roles
 
 
 def hourly_rollup(arriving: DataFrame, roles: Roles = METERED, lateness: str = "1 hour",
                   group: Sequence[str] = ()) -> DataFrame:
-    """(hour_start, group…, records, total_energy, avg_energy) per event hour.
+    """(hour_start, group…, records, total_energy, avg_energy) per event hour, as the readings' clocks show it.
 
     A reading that arrives again within `lateness` counts once; one that arrives later is dropped. State is
     bounded by the watermark, and a busy group is combined before the shuffle. The same function runs on a
     batch, where it gives all hours.
     """
-    stamped = arriving.withColumn("event_time", F.col(roles.timestamp).cast("timestamp"))
+    stamp = F.col(roles.timestamp)
+    has_zone = dict(arriving.dtypes)[roles.timestamp] == "timestamp"
+    # watermarks need an instant
+    stamped = arriving.withColumn("event_time", stamp if has_zone else utc_instant(stamp.cast("timestamp_ntz")))
     if arriving.isStreaming:
         stamped = stamped.withWatermark("event_time", lateness)
         if roles.key:
@@ -29,7 +33,9 @@ def hourly_rollup(arriving: DataFrame, roles: Roles = METERED, lateness: str = "
     rolled = stamped.groupBy(F.window("event_time", "1 hour"), *group).agg(
         F.count(F.lit(1)).alias("records"), F.sum(roles.measure).alias("total_energy"),
         F.avg(roles.measure).alias("avg_energy"))
-    return rolled.select(F.col("window.start").alias("hour_start"), *group, "records", "total_energy", "avg_energy")
+    start = F.col("window.start")
+    hour = start if has_zone else utc_wall_time(start)
+    return rolled.select(hour.alias("hour_start"), *group, "records", "total_energy", "avg_energy")
 
 
 def write_rollup(rolled: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:

@@ -51,7 +51,7 @@ summary AS (
 
 
 def _text_stamp(df: DataFrame) -> DataFrame:
-    return df.withColumn("timestamp_raw", F.date_format("timestamp_raw", "yyyy-MM-dd HH:mm:ss"))
+    return df.withColumn("timestamp_raw", F.col("timestamp_raw").cast("string"))
 
 
 @query("ingest_csv", RR + """SELECT * REPLACE (CASE WHEN timestamp_raw = 'n/a' THEN NULL ELSE timestamp_raw END

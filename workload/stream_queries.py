@@ -32,7 +32,7 @@ def arriving(spark, sf_dir):
 
 def _shown(rolled):
     return rolled.select(
-        F.date_format(F.col("hour_start").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss").alias("hour_start"),
+        F.col("hour_start").cast("string").alias("hour_start"),
         "records", half_up(F.col("total_energy"), 2).alias("total_energy"),
         half_up(F.col("avg_energy"), 4).alias("avg_energy"))
 
