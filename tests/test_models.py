@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wattframe.operators import trees as T
 from wattframe.plans.classification import classification_report
 from wattframe.plans.quality import quality_report
+from wattframe.plans.scoring import classify_records, predict_records
 from wattframe.plans.regression import regression_report
 from wattframe.session import scratch_dir
 from wattframe.sources.model_store import fit_or_load
@@ -118,3 +119,25 @@ def test_quality_report_has_all_tables(spark, sf_dir):
     assert {name: df.count() for name, df in report.items()} == {
         "before": 1, "after": 1, "steps": 7, "missing_by_col": 4, "timestamp": 1, "encoding": 4, "scaling": 8,
         "selection": 10, "excluded": 3, "preview": 5, "scaled_preview": 5}
+
+
+def test_records_in_records_out(tree, spark, readings):
+    rows = readings.select("reading_id", *READINGS.class_numeric, *READINGS.class_categorical).limit(100)
+    broken = rows.withColumn("hour", F.when(F.col("reading_id") % 3 == 0, "late").otherwise(F.col("hour").cast("string")))
+    scored = classify_records(broken, tree.model, tree.domains, ["reading_id"], READINGS).collect()
+    assert len(scored) == 100
+    plain = {r["reading_id"]: r["predicted"] for r in T.score_category(rows, tree.model, READINGS).collect()}
+    for r in scored:
+        if r["reading_id"] % 3 == 0:
+            assert tuple(r)[1:] == ("'hour' must be a number.", None, None, None, None, None)
+        else:
+            assert r["error"] is None and r["predicted"] == plain[r["reading_id"]]
+
+
+def test_energy_of_records(spark, readings):
+    report = regression_report(readings, READINGS, trees=2, max_depth=3)
+    rows = readings.select("reading_id", *READINGS.regression_numeric, *READINGS.regression_categorical).limit(50)
+    odd = rows.withColumn("building_type", F.lit("Castle"))
+    scored = predict_records(rows.unionAll(odd), report.model, report.domains, ["reading_id"], READINGS)
+    assert scored.where("error = 'Unknown building type.' AND energy_kwh IS NULL").count() == 50
+    assert scored.where("error IS NULL AND energy_kwh > 0 AND co2_kg > 0").count() == 50

@@ -18,6 +18,7 @@ from wattframe.functions.labels import sentence_case
 from wattframe.functions.numbers import half_up
 from wattframe.operators.evaluation import sample_rows
 from wattframe.roles import METERED, Roles
+from wattframe.session import materialize
 
 # Allowed numbers of clusters, limits, words and the text for an unremarkable cluster.
 ALLOWED_K = (2, 3, 4, 5)
@@ -177,6 +178,7 @@ def silhouette_sampled(assigned: DataFrame, columns: Sequence[str], key: Sequenc
     """
     chosen = sample_rows(assigned, key, rows, seed, order).select(
         F.col("cluster").alias("own"), *[F.col(c).cast("double").alias(c) for c in columns])
+    chosen = materialize(chosen, "silhouette-sample")
     members = chosen.groupBy(F.col("own").alias("other")).agg(
         F.collect_list(F.struct(*columns)).alias("points"), F.count(F.lit(1)).alias("size"))
 

@@ -10,7 +10,8 @@ from wattframe.operators import levels as L
 from wattframe.operators import trees as T
 from wattframe.operators.encoding import category_domains
 from wattframe.operators.splitting import split_random, split_sizes, split_stratified
-from wattframe.operators.validation import as_numbers, class_input_error, energy_input_error, validate
+from wattframe.operators.validation import class_input_error, energy_input_error, validate
+from wattframe.plans.scoring import classify_records, predict_records
 from wattframe.session import materialize
 from workload.readings import READINGS, duckdb_cte, readings
 from workload.registry import half_up_sql as hu
@@ -304,10 +305,9 @@ def tree_nodes(spark, sf_dir):
 
 @query("score_category")
 def score_category(spark, sf_dir):
-    """Records that pass the checks, with prediction, confidence and class shares."""
+    """All records: prediction, confidence and class shares, or the rule a record breaks."""
     sides, model = _tree(spark, sf_dir)
-    checked = validate(records(sides), class_input_error(domains(sides), READINGS)).where("error IS NULL")
-    return T.score_category(as_numbers(checked, READINGS.class_numeric), model, READINGS).drop("error")
+    return classify_records(records(sides), model, domains(sides), READINGS.key, READINGS)
 
 
 def _forest(spark, sf_dir):
@@ -329,8 +329,6 @@ def rf_importance(spark, sf_dir):
 
 @query("score_energy_model")
 def score_energy_model(spark, sf_dir):
-    """Records that pass the checks, with energy, cost and emissions from the fitted forest."""
+    """All records: energy, cost and emissions from the fitted forest, or the rule a record breaks."""
     sides, model = _forest(spark, sf_dir)
-    checked = validate(records(sides), energy_input_error(domains(sides), READINGS)).where("error IS NULL")
-    scored = T.score_energy(as_numbers(checked, READINGS.regression_numeric), model)
-    return scored.select("reading_id", "energy_kwh", "cost_inr", "co2_kg")
+    return predict_records(records(sides), model, domains(sides), READINGS.key, READINGS)
