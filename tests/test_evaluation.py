@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from wattframe.operators import evaluation as E
 from wattframe.operators import levels as L
 from wattframe.operators.splitting import split_random, split_stratified
-from wattframe.operators.validation import class_input_error, energy_input_error, validate
+from wattframe.operators.validation import class_input_check, energy_input_check, validate
 from wattframe.roles import METERED
 from workload.readings import READINGS
 
@@ -110,8 +110,8 @@ BROKEN = [
 def test_first_broken_rule_is_named(spark):
     rows = [tuple({**RECORD, **change}.values()) for change, _, _ in BROKEN]
     df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in RECORD)).coalesce(1)
-    assert [r["error"] for r in validate(df, class_input_error(DOMAINS)).collect()] == [c for _, c, _ in BROKEN]
-    assert [r["error"] for r in validate(df, energy_input_error(DOMAINS)).collect()] == [e for _, _, e in BROKEN]
+    assert [r["error"] for r in validate(df, class_input_check(DOMAINS)).collect()] == [c for _, c, _ in BROKEN]
+    assert [r["error"] for r in validate(df, energy_input_check(DOMAINS)).collect()] == [e for _, _, e in BROKEN]
 
 
 def test_missing_floor_area_is_filled_by_type(spark):

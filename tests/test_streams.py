@@ -3,7 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from wattframe.operators.validation import class_input_error
+from wattframe.operators.validation import class_input_check
 from wattframe.roles import METERED
 from wattframe.session import scratch_dir
 from wattframe.streaming.rollup import hourly_rollup, write_rollup
@@ -60,7 +60,7 @@ def test_scoring_quarantines_and_survives_a_restart(spark, fail_first):
 
     def start():
         source = spark.readStream.schema(schema).parquet(folder)
-        score_stream(source, class_input_error(DOMAINS), METERED.class_numeric, score, good, bad,
+        score_stream(source, class_input_check(DOMAINS), score, good, bad,
                      checkpoint).awaitTermination()
 
     if fail_first:

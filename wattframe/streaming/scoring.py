@@ -4,17 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from wattframe.operators.validation import as_numbers, validate
+from wattframe.operators.validation import InputCheck
 
 
 def score_stream(
     arriving: DataFrame,
-    error: Column,
-    numbers: tuple[str, ...],
+    check: InputCheck,
     score: Callable[[DataFrame], DataFrame],
     good_path: str,
     bad_path: str,
@@ -29,11 +28,12 @@ def score_stream(
 
     def write_batch(batch: DataFrame, number: int) -> None:
         # kept for the two writes, so that the source is read and checked once
-        checked = validate(batch, error).persist()
+        checked = check.check(batch).persist()
         try:
-            good = as_numbers(checked.where(F.col("error").isNull()).drop("error"), numbers)
+            good = check.with_numbers(checked.where(F.col("error").isNull())).drop("error")
             score(good).write.mode("overwrite").parquet(f"{good_path}/batch={number}")
-            checked.where(F.col("error").isNotNull()).write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
+            broken = check.forget_numbers(checked.where(F.col("error").isNotNull()))
+            broken.write.mode("overwrite").parquet(f"{bad_path}/batch={number}")
         finally:
             checked.unpersist()
 

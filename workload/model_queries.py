@@ -10,7 +10,7 @@ from wattframe.operators import levels as L
 from wattframe.operators import trees as T
 from wattframe.operators.encoding import category_domains
 from wattframe.operators.splitting import split_random, split_sizes, split_stratified
-from wattframe.operators.validation import class_input_error, energy_input_error, validate
+from wattframe.operators.validation import class_input_check, energy_input_check, validate
 from wattframe.plans.scoring import classify_records, predict_records
 from wattframe.session import materialize
 from workload.readings import READINGS, duckdb_cte, readings
@@ -211,13 +211,13 @@ def domains(rows):
 @query("validate_cls", R + _RECORDS + _DOMAINS + f"SELECT reading_id, {_CLASS_ERROR} AS error FROM records, domains")
 def validate_cls(spark, sf_dir):
     rows = readings(spark, sf_dir)
-    return validate(records(rows), class_input_error(domains(rows), READINGS)).select("reading_id", "error")
+    return validate(records(rows), class_input_check(domains(rows), READINGS)).select("reading_id", "error")
 
 
 @query("validate_reg", R + _RECORDS + _DOMAINS + f"SELECT reading_id, {_ENERGY_ERROR} AS error FROM records, domains")
 def validate_reg(spark, sf_dir):
     rows = readings(spark, sf_dir)
-    return validate(records(rows), energy_input_error(domains(rows), READINGS)).select("reading_id", "error")
+    return validate(records(rows), energy_input_check(domains(rows), READINGS)).select("reading_id", "error")
 
 
 _ERRORS = ", errors AS (SELECT reading_id, hour, energy_consumption_kwh AS a, pred_kwh AS p, energy_consumption_kwh - pred_kwh AS e FROM test)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from wattframe.functions.numbers import half_up
 from wattframe.operators import trees as T
 from wattframe.operators.splitting import split_stratified
-from wattframe.operators.validation import class_input_error
+from wattframe.operators.validation import class_input_check
 from wattframe.session import materialize, scratch_dir
 from wattframe.streaming.rollup import hourly_rollup, write_rollup
 from wattframe.streaming.scoring import score_stream
@@ -65,7 +65,7 @@ def stream_scoring(spark, sf_dir):
     model = T.fit_tree(history.where("side = 'train'"), READINGS)
     good, bad = scratch_dir(spark, "scored"), scratch_dir(spark, "quarantine")
     score_stream(
-        records(arriving(spark, sf_dir)), class_input_error(domains(history), READINGS), READINGS.class_numeric,
+        records(arriving(spark, sf_dir)), class_input_check(domains(history), READINGS),
         lambda batch: T.score_category(batch, model, READINGS), good, bad, scratch_dir(spark, "scoring-checkpoint"),
     ).awaitTermination()
     scored = spark.read.parquet(good).select("reading_id", F.lit(None).cast("string").alias("error"),
