@@ -32,6 +32,7 @@ def test_fingerprint_ignores_order_and_partitioning(spark):
     for other in (
         df.where("id > 0"), df.unionAll(df), df.unionAll(df.limit(1)),
         df.withColumn("x", F.when(F.col("id") == 3, 0).otherwise(F.col("x"))),
+        df.withColumn("x", F.col("x").cast("string")),
         df.withColumnRenamed("x", "y"), df.select(F.col("x").alias("id"), F.col("id").alias("x")),
     ):
         assert fingerprint(other).first() != base
@@ -73,3 +74,21 @@ def test_no_local_scratch_on_a_cluster():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         scratch_dir(Session(), "x")
+
+
+def test_fingerprint_tells_nulls_apart(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "")], "x string, y string")
+    moved = spark.createDataFrame([(None, "a"), ("b", "")], "x string, y string")
+    empty = spark.createDataFrame([("a", ""), ("b", "")], "x string, y string")
+    assert len({signature(df) for df in (rows, moved, empty)}) == 3
+
+
+def test_filters_skip_files_and_columns(spark):
+    path = scratch_dir(spark, "test-layout")
+    df = spark.range(2400).select("id", (F.col("id") % 12 + 1).cast("int").alias("month"), F.lit("x").alias("other"))
+    write_table(df, path, sort_by=("id",), partition_by=("month",))
+    chosen = load_table(spark, path).where("month = 3 AND id < 100").select("id")
+    plan = chosen._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "LessThan(id,100)" in plan
+    assert "ReadSchema: struct<id:bigint>" in plan
+    assert chosen.count() == len([i for i in range(100) if i % 12 + 1 == 3])

@@ -89,7 +89,8 @@ def mode_values(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
 
 
 def fill_gaps(df: DataFrame, values: Mapping[str, float | str]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()})
+    kinds = {f.name: f.dataType for f in df.schema}
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(kinds[c])) for c, v in values.items()})
 
 
 def impute_median(df: DataFrame, roles: Roles = METERED) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """One row that changes when any value, row or column changes, and not with row order or partitioning.
+    """One row that changes when any value, row, column or type changes, and not with row order or partitioning.
 
-    Rows are hashed twice with the column position mixed in: `xor_hash` alone would cancel out a row that
-    occurs twice, `sum_hash` and `rows` notice that.
+    A null leaves a hash as it is, so each value comes with a flag. `xor_hash` alone would cancel out a row that
+    occurs twice; `sum_hash` and `row_count` notice that.
     """
-    columns = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in df.columns]
-    row = F.xxhash64(F.lit(",".join(df.columns)), *columns)
-    return df.select(row.alias("h")).agg(
+    header = F.lit(",".join(f"{name}:{kind}" for name, kind in df.dtypes))
+    values = [x for c in df.columns for x in (F.col(c), F.col(c).isNull())]
+    return df.select(F.xxhash64(header, *values).alias("h")).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.coalesce(F.sum(F.pmod("h", F.lit(2147483648))), F.lit(0)).alias("sum_hash"),
         F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor_hash"),
@@ -30,11 +30,16 @@ def signature(df: DataFrame) -> str:
     return f"{row['row_count']}-{row['sum_hash']}-{row['xor_hash']}"
 
 
-def write_table(df: DataFrame, path: str, sort_by: tuple[str, ...] = ()) -> None:
-    """Replace the table. Rows sorted within each file let a filter skip row groups by their min/max."""
-    if sort_by:
-        df = df.sortWithinPartitions(*sort_by)
-    df.write.mode("overwrite").parquet(path)
+def write_table(df: DataFrame, path: str, sort_by: Sequence[str] = (), partition_by: Sequence[str] = ()) -> None:
+    """Replace the table.
+
+    A filter on a `partition_by` column (few values, such as the month) reads only its folders; rows sorted
+    within each file let a filter on a `sort_by` column skip row groups by their min/max.
+    """
+    if sort_by or partition_by:
+        df = df.sortWithinPartitions(*partition_by, *sort_by)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
 def load_table(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +79,8 @@ def ingest(
     spark: SparkSession,
     source: Callable[[], DataFrame],
     path: str,
-    sort_by: tuple[str, ...] = (),
+    sort_by: Sequence[str] = (),
+    partition_by: Sequence[str] = (),
 ) -> ImportStatus:
     """Write the source once; a later call writes again only when the source's fingerprint has changed.
 
@@ -88,6 +94,6 @@ def ingest(
     if _stored_stamp(spark, path) == text:
         return ImportStatus(False, wanted["row_count"])
     _write_stamp(spark, path, "")
-    write_table(rows, path, sort_by)
+    write_table(rows, path, sort_by, partition_by)
     _write_stamp(spark, path, text)
     return ImportStatus(True, wanted["row_count"])
