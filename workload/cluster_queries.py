@@ -133,6 +133,22 @@ def pca_scatter(spark, sf_dir):
     return K.pca_scatter(assigned, K.fit_projection(assigned, Z), ("reading_id",))
 
 
+# Loadings of two fixed components, for the part of the scatter that SQL can check.
+LOADINGS = [[0.3, 0.6, 0.5, 0.2, 0.5], [0.7, -0.4, 0.1, 0.5, -0.2]]
+
+
+def _component(loading) -> str:
+    return " + ".join(f"z_{c} * CAST({w} AS DOUBLE)" for c, w in zip(COLUMNS, loading, strict=True))
+
+
+@query("projected_scatter", R + f"""SELECT reading_id, cluster, {hu(f'({_component(LOADINGS[0])})', 3)} AS x,
+ {hu(f'({_component(LOADINGS[1])})', 3)} AS y FROM assigned ORDER BY {HASH}, reading_id, energy_consumption_kwh LIMIT 900""")
+def projected_scatter(spark, sf_dir):
+    projection = K.Projection(tuple(Z), LOADINGS, [])
+    key = ("reading_id", READINGS.measure)
+    return K.pca_scatter(_assigned(spark, sf_dir), projection, key, order=order_hash()).drop(READINGS.measure)
+
+
 @query("k_sweep")
 def k_sweep(spark, sf_dir):
     return sweep(readings(spark, sf_dir), READINGS, restarts=3)

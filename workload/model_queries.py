@@ -12,7 +12,8 @@ from wattframe.operators.encoding import category_domains
 from wattframe.operators.splitting import split_random, split_sizes, split_stratified
 from wattframe.operators.validation import class_input_check, energy_input_check, validate
 from wattframe.plans.scoring import classify_records, predict_records
-from wattframe.session import materialize
+from wattframe.session import materialize, scratch_dir
+from wattframe.sources.model_store import fit_or_load
 from workload.readings import READINGS, duckdb_cte, readings
 from workload.registry import half_up_sql as hu
 from workload.registry import query
@@ -303,6 +304,22 @@ def tree_nodes(spark, sf_dir):
     return T.tree_nodes(_tree(spark, sf_dir)[1])
 
 
+@query("model_store", R + """SELECT a.attempt, a.reused, (SELECT count(*) FROM readings) AS records
+FROM (VALUES (1, false), (2, true), (3, false)) AS a(attempt, reused)""")
+def model_store(spark, sf_dir):
+    """A first fit, one on the same data in another order, and one in which a value has changed."""
+    columns = ["reading_id", *READINGS.class_numeric, *READINGS.class_categorical, READINGS.category]
+    data = materialize(readings(spark, sf_dir).select(*columns), "train", spread=True)
+    moved = data.repartition(5, "hour")
+    changed = data.withColumn("humidity_pct", F.col("humidity_pct") + F.when(F.col("hour") == 0, 1).otherwise(0))
+    path, depth = scratch_dir(spark, "model"), {"max_depth": 3}
+    rows = []
+    for attempt, frame in enumerate((data, moved, changed), start=1):
+        stored = fit_or_load(spark, path, frame, depth, lambda df: T.fit_tree(df, READINGS, **depth))
+        rows.append((attempt, stored.reused, T.predict_category(frame, stored.model).count()))
+    return spark.createDataFrame(rows, "attempt int, reused boolean, records long")
+
+
 @query("score_category")
 def score_category(spark, sf_dir):
     """All records: prediction, confidence and class shares, or the rule a record breaks."""
