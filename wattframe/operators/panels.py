@@ -72,7 +72,8 @@ def _entry(panel: str | Column, sort_key: Column, label: Column, value: Column,
         value.cast("double").alias("value"),
     )
     return F.struct(
-        (F.lit(panel) if isinstance(panel, str) else panel).alias("panel"), sort_key.cast("double").alias("sort_key"), label.cast("string").alias("label"),
+        (F.lit(panel) if isinstance(panel, str) else panel).alias("panel"),
+        sort_key.cast("double").alias("sort_key"), label.cast("string").alias("label"),
         pick.alias("pick"), (F.lit(None) if add is None else add).cast("bigint").alias("add"),
     )
 

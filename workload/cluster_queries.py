@@ -59,7 +59,7 @@ def assign_fixed_centers(spark, sf_dir):
         "reading_id", "cluster", half_up(F.col("distance2"), 4).alias("distance2"))
 
 
-@query("cluster_renumber", R + f"SELECT cluster, number, {hu('mean', 4)} AS mean FROM numbers")
+@query("cluster_renumber", R + f"SELECT cluster, CAST(number AS INT) AS number, {hu('mean', 4)} AS mean FROM numbers")
 def cluster_renumber(spark, sf_dir):
     numbers = K.renumbering(_assigned(spark, sf_dir), READINGS.measure)
     return numbers.withColumn("mean", half_up(F.col("mean"), 4))

@@ -63,13 +63,13 @@ def association_rules(spark, sf_dir):
         *[half_up(F.col(c), 6).alias(c) for c in ("support", "confidence", "lift")])
 
 
-@query("top_rules", RS + f"""SELECT position, antecedent, consequent, {hu('support', 4)} AS support,
+@query("top_rules", RS + f"""SELECT CAST(position AS INT) AS position, antecedent, consequent, {hu('support', 4)} AS support,
  {hu('confidence', 4)} AS confidence, {hu('lift', 3)} AS lift FROM ranked WHERE position <= 200""")
 def top_rules(spark, sf_dir):
     return mine_rules(readings(spark, sf_dir), roles=READINGS)["rules"]
 
 
-@query("rules_chart", RS + f"""SELECT position, antecedent || ' → ' || consequent AS label, {hu('lift', 3)} AS lift,
+@query("rules_chart", RS + f"""SELECT CAST(position AS INT) AS position, antecedent || ' → ' || consequent AS label, {hu('lift', 3)} AS lift,
  {hu('confidence', 4)} AS confidence FROM ranked WHERE position <= 10""")
 def rules_chart(spark, sf_dir):
     return mine_rules(readings(spark, sf_dir), roles=READINGS)["chart"]
