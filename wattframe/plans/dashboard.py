@@ -12,12 +12,10 @@ from wattframe.operators.panels import Extreme, GroupCount, Kpi, Measure, Series
 from wattframe.roles import METERED, Roles
 
 
-def _with_bins(df: DataFrame, roles: Roles) -> DataFrame:
-    return df.withColumns({
-        "occupancy_bin": nearest_bin(F.col(roles.occupancy), 10),
-        "temperature_bin": nearest_bin(F.col(roles.temperature), 2),
-        "hvac_bin": nearest_bin(F.col(roles.hvac), 10),
-    })
+def _with_bins(df: DataFrame, roles: Roles, *names: str) -> DataFrame:
+    bins = {"occupancy_bin": (roles.occupancy, 10), "temperature_bin": (roles.temperature, 2),
+            "hvac_bin": (roles.hvac, 10)}
+    return df.withColumns({n: nearest_bin(F.col(bins[n][0]), bins[n][1]) for n in names})
 
 
 def _measures(roles: Roles) -> dict[str, Measure]:
@@ -30,7 +28,7 @@ def _measures(roles: Roles) -> dict[str, Measure]:
 
 def dashboard_panels(df: DataFrame, roles: Roles = METERED, **filters: str | int | None) -> DataFrame:
     """Seven KPIs and six series over the rows that match the filters."""
-    rows = _with_bins(apply_filters(df, roles, **filters), roles)
+    rows = _with_bins(apply_filters(df, roles, **filters), roles, "occupancy_bin", "temperature_bin")
     bundles = [[roles.month, roles.hour], [roles.entity], [roles.category, "occupancy_bin", "temperature_bin"]]
     return panel_bundle(rows, bundles, _measures(roles), [
         Kpi("records", "n"), Kpi("total_energy", "energy"), Kpi("avg_energy", "avg_energy"),
@@ -49,7 +47,8 @@ def analysis_panels(df: DataFrame, roles: Roles = METERED) -> DataFrame:
     """Eleven statistics and eight series over all rows."""
     bundles = [[roles.month, roles.hour], [roles.entity], ["occupancy_bin", "hvac_bin"], ["temperature_bin"]]
     measures = {**_measures(roles), "avg_temperature": Measure("avg", roles.temperature)}
-    return panel_bundle(_with_bins(df, roles), bundles, measures, [
+    rows = _with_bins(df, roles, "occupancy_bin", "temperature_bin", "hvac_bin")
+    return panel_bundle(rows, bundles, measures, [
         Kpi("records", "n"), GroupCount("buildings", roles.entity),
         Kpi("avg_temperature", "avg_temperature"), Kpi("avg_occupancy", "avg_occupancy"),
         Kpi("total_cost", "cost"), Kpi("total_co2", "co2"),
