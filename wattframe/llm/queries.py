@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm import decontaminate, mixing
+from wattframe.llm import decontaminate, mixing, search
 from wattframe.llm.minhash import near_duplicates
 from wattframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401 - the first two are read by the entry
 from wattframe.llm.sharding import histogram_shards
 from wattframe.llm.toxicity import score_documents, train, usable_for_training
 
 
+@query("op1_ball_tree_top_k", search.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return search.top_inner_products(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
 @query("op2_toxicity_noisy_or")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
