@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm import decontaminate, mixing, search
+from wattframe.llm import decontaminate, langid, mixing, search
 from wattframe.llm.minhash import near_duplicates
 from wattframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401 - the first two are read by the entry
 from wattframe.llm.sharding import histogram_shards
@@ -31,6 +31,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op7_language_mixtures")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.detect_languages(docs.select("doc_id", "text"), langid.train(docs))
+    return found.select("doc_id", F.coalesce(~langid.usable_for_training(), F.lit(False)).alias("held_out"),
+                        "lang_pred", "score", "languages")
+
+
 @query("op8_histogram_sort_shards")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_crc32 = F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32")
