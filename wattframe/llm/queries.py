@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm import decontaminate, langid, mixing, search
+from wattframe.llm import chat, decontaminate, langid, mixing, search, secrets
 from wattframe.llm.minhash import near_duplicates
 from wattframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401 - the first two are read by the entry
 from wattframe.llm.sharding import histogram_shards
 from wattframe.llm.toxicity import score_documents, train, usable_for_training
+from wattframe.llm.words import let
 
 
 @query("op1_ball_tree_top_k", search.ORACLE)
@@ -26,6 +27,36 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.size("offending").alias("n_offending"))
 
 
+@query("op4_chat_format")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
+    record = F.to_variant_object(F.struct("role", "text"))
+    turns = chat.canonical_turns(rows.unionByName(probe), record, F.col("conv_id"), F.col("turn"))
+    def digests(turns):
+        said = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+        return F.struct(F.size(turns).cast("bigint").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+                        chat.loss_text(turns, F.col("loss_mask")).alias("loss"))
+
+    read = chat.format_turns(turns).select(
+        "conv_id", F.length("formatted").cast("bigint").alias("formatted_chars"),
+        let(chat.read_back(F.col("formatted")), digests).alias("read"))
+    return read.select(
+        "conv_id", "read.n_turns", "read.turns_sha256", F.length("read.loss").cast("bigint").alias("loss_chars"),
+        F.sha2("read.loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+@query("op5_linked_secrets")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    strong = F.col("strong")
+    return found.select(
+        "doc_id", *[secrets.count_kind(strong, k).alias(f"n_{k}") for k in secrets.STRONG],
+        F.sha2(secrets.span_text(strong), 256).alias("base_sha256"),
+        secrets.span_text(F.array_sort(F.concat("strong", "weak"))).alias("spans"))
+
+
 @query("op6_minhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
