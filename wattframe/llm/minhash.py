@@ -5,9 +5,11 @@ Every text becomes the set of its five-word shingles, a signature of minima of w
 candidates; the share of equal low bits, corrected for chance, estimates their similarity, and what may reach the
 threshold is confirmed on the full sets.
 
-Candidates are not all pairs of a bucket. First every class meets the most connected class of each of its buckets.
-Then, in buckets that still hold several components, classes of different components meet. So no link that would
-join two components is lost, and a group of copies costs about one comparison per copy.
+No pairs of a bucket are listed. First every class meets the most connected class of each of its buckets, which
+joins a group of copies at about one comparison per copy. Buckets that still hold several components are compared in
+blocks of bounded size within a task: there the estimate leaves families of classes that may be linked, and each
+family's full sets are compared once more in blocks. A block gives a spanning forest of its links, so that rows grow
+with the members and no link that would join two components is lost.
 
 Bands of 8 minima, 40 of them: two sets of similarity 0.85 share a band with probability 1 - 3e-6. The estimate
 has a standard deviation of 0.024 at the threshold; what lies five of them below is dropped unseen.
@@ -36,6 +38,8 @@ SEED = 20_240_229
 MINIMA = BAND_ROWS * BANDS
 PLANE_WORDS = MINIMA // 64
 _CHUNK = 2048
+BLOCK_ROWS = 512
+BLOCK_SHINGLES = 2_000_000
 _CACHED_WORDS = 200_000
 
 
@@ -161,11 +165,15 @@ def estimate(a: Column, b: Column) -> Column:
 
 def _may_reach(threshold: float) -> Column:
     """What estimate and sizes leave of the candidates (planes_a, planes_b, n_a, n_b)."""
+    by_size = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold - 1e-9)
+    return by_size & (estimate(F.col("planes_a"), F.col("planes_b")) >= F.lit(threshold - _slack(threshold)))
+
+
+def _slack(threshold: float) -> float:
+    """Five standard deviations of the estimate at the threshold."""
     chance = 2.0**-KEPT_BITS
     equal = chance + (1 - chance) * threshold
-    slack = 5 * sqrt(equal * (1 - equal) / MINIMA) / (1 - chance)
-    by_size = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold - 1e-9)
-    return by_size & (estimate(F.col("planes_a"), F.col("planes_b")) >= F.lit(threshold - slack))
+    return 5 * sqrt(equal * (1 - equal) / MINIMA) / (1 - chance)
 
 
 def _both(pairs: DataFrame, classes: DataFrame, value: str) -> DataFrame:
@@ -240,21 +248,152 @@ def _links(docs: DataFrame, classes: DataFrame, text: str, row_id: str, threshol
     joined = connected_components(first).withColumnRenamed("node", "rep")
     placed = members.select("key", "rep").join(joined, "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    apart = materialize(
-        placed.join(mixed.where(F.col("low") < F.col("high")).select("key"), "key")
-        .join(classes.select("rep", "n", "planes"), "rep"), "apart")
-    a, b = (apart.select("key", F.col("rep").alias(c), F.col("component").alias(f"component_{c}"), F.col("n").alias(f"n_{c}"),
-                         F.col("planes").alias(f"planes_{c}")) for c in "ab")
-    rest = (
-        a.join(b, "key").where((F.col("component_a") < F.col("component_b")) & _may_reach(threshold))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        .join(star, ["a", "b"], "left_anti")
-    )
-    second = _confirm(materialize(rest, "rest-pairs"), sets, percent)
+    mixed = placed.groupBy("key").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    mixed = mixed.where(F.col("low") < F.col("high")).select("key", F.ceil(F.col("size") / BLOCK_ROWS).alias("blocks"))
+    apart = placed.join(mixed, "key").join(classes.select("rep", "n", "planes"), "rep")
+    near = _in_blocks(apart, "key", "planes").mapInArrow(_near_in_blocks(threshold), "a bigint, b bigint")
+
+    family = materialize(connected_components(near).withColumnsRenamed({"node": "rep", "component": "key"}), "families")
+    family = family.join(joined, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    family = materialize(family.join(sets.groupBy("rep").agg(F.max("n").alias("n")), "rep"), "family-members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    whole = family.join(family.groupBy("key").agg(blocks), "key").drop("n").join(sets, "rep")
+    second = _in_blocks(whole, "key", "shingles").mapInArrow(_linked_in_blocks(percent), "a bigint, b bigint")
     return materialize(first.unionAll(second), "links")
 
 
+def _in_blocks(rows: DataFrame, group: str, payload: str) -> DataFrame:
+    """Rows of (group, rep, component, n, payload, blocks), once per pair of blocks of their group, sorted by pair.
+
+    A group of up to BLOCK_ROWS rows is one pair of a block with itself; a larger one is spread over several
+    tasks, each of which holds two blocks.
+    """
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
+    return (
+        rows.select(F.col(group).alias("g"), "rep", "component", "n", payload, own.alias("block"), other.alias("other"))
+        .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                "block", "rep", "component", "n", payload)
+        .repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    )
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one (g, i, j) after the other, whatever batches they come in."""
+    held: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("g", "i", "j")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(keys[start])
+            if held and key != last:
+                yield pa.concat_tables(held)
+                held = []
+            held.append(pa.Table.from_batches([batch.slice(start, end - start)]))
+            last = key
+    if held:
+        yield pa.concat_tables(held)
+
+
+def _whole(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64)
+
+
+def _may_pair(table: pa.Table, low: float) -> np.ndarray:
+    """The pairs (upper triangle) of this pair of blocks that lie in different components and are of like size."""
+    component, block, n = (_whole(table, c) for c in ("component", "block", "n"))
+    apart = np.triu(component[:, None] != component[None, :], 1)
+    if block.min() != block.max():
+        apart &= block[:, None] != block[None, :]
+    return apart & (np.minimum(n[:, None], n[None, :]) >= (low - 1e-9) * np.maximum(n[:, None], n[None, :]))
+
+
+def _forest(pairs: np.ndarray, names: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) that join the same names as all the given pairs do."""
+    up = {int(x): int(x) for x in names}
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    found = []
+    for row, column in np.argwhere(pairs):
+        a, b = root(int(names[row])), root(int(names[column]))
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            found.append((int(row), int(column)))
+    return found
+
+
+def _edges(rep: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = np.array([sorted((rep[a], rep[b])) for a, b in found], np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+
+def _near_in_blocks(threshold: float):
+    """Classes whose estimate may reach the threshold, as a forest."""
+    least = threshold - _slack(threshold)
+    chance = 2.0**-KEPT_BITS
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            pairs = _may_pair(table, threshold)
+            if not pairs.any():
+                continue
+            planes = table.column("planes").combine_chunks().flatten().to_numpy().reshape(table.num_rows, KEPT_BITS, PLANE_WORDS)
+            differ = np.zeros(pairs.shape, np.int64)
+            for w in range(PLANE_WORDS):
+                word = planes[:, None, 0, w] ^ planes[None, :, 0, w]
+                for bit in range(1, KEPT_BITS):
+                    word |= planes[:, None, bit, w] ^ planes[None, :, bit, w]
+                differ += np.bitwise_count(word.view(np.uint64))
+            pairs &= ((1 - differ / MINIMA) - chance) / (1 - chance) >= least
+            rep = _whole(table, "rep")
+            yield _edges(rep, _forest(pairs, rep))
+
+    return near
+
+
+def _linked_in_blocks(percent: int):
+    """Links confirmed on the full sets, as a forest of the components."""
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches):
+            pairs = _may_pair(table, percent / 100)
+            if not pairs.any():
+                continue
+            n = _whole(table, "n")
+            union = n[:, None] + n[None, :] - (both := _common(table))
+            pairs &= 100 * both >= percent * union
+            yield _edges(_whole(table, "rep"), _forest(pairs, _whole(table, "component")))
+
+    return linked
+
+
+def _common(table: pa.Table) -> np.ndarray:
+    """The sizes of all intersections, as products of 0/1 matrices over the shingles that occur more than once."""
+    column = table.column("shingles").combine_chunks()
+    row = np.repeat(np.arange(table.num_rows), column.value_lengths().to_numpy(zero_copy_only=False))
+    _, place, times = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    often = times[place] > 1
+    row, place = row[often], place[often]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    place = np.cumsum(np.r_[0, place[1:] != place[:-1]]) if len(place) else place
+    total = np.zeros((table.num_rows, table.num_rows), np.float32)  # counts stay far below 2^24
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, _CHUNK):
+        here = slice(*np.searchsorted(place, [start, start + _CHUNK]))
+        part = np.zeros((table.num_rows, _CHUNK), np.float32)
+        part[row[here], place[here] - start] = 1
+        total += part @ part.T
+    return total.astype(np.int64)
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
     """One document of each group: the one with the smallest id; all columns as they were."""
     gone = near_duplicates(docs, text, row_id).where(~F.col("kept")).select("doc_id").distinct()
