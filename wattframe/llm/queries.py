@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm import chat, decontaminate, langid, mixing, search, secrets
+from wattframe.llm import chat, decontaminate, langid, licenses, mixing, search, secrets
 from wattframe.llm.minhash import near_duplicates
 from wattframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401 - the first two are read by the entry
 from wattframe.llm.sharding import histogram_shards
@@ -27,6 +27,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.size("offending").alias("n_offending"))
 
 
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = licenses.scan_licenses(docs, licenses.train(docs))
+    families = F.array_sort(F.array_distinct(F.col("licenses.family")))
+    return scanned.select("doc_id", F.size("licenses").cast("bigint").alias("n_notices"),
+                          F.array_join(families, ",").alias("families"), "licenses")
+
+
 @query("op4_chat_format")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
