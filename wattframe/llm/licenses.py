@@ -4,7 +4,7 @@ A paragraph (a line) is a sparse vector of word 1- to 3-grams. A multinomial log
 families and an unknown class apart. It is trained here: on the notices below in varied wordings, and for the
 unknown class on paragraphs of the corpus and on sentences that only sound like a notice. Its probabilities are
 calibrated by a temperature on held-back examples. A predicted family counts only if its probability is high enough
-and the paragraph holds enough of the words of one of the family's templates.
+and the paragraph holds enough of the neighbouring words of one of the family's templates.
 """
 
 from __future__ import annotations
@@ -69,15 +69,20 @@ def grams_of(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
 
+def pairs_of(words: list[str]) -> set[str]:
+    """Neighbouring words, in order; what a template and a paragraph are compared by."""
+    return {f"{a} {b}" for a, b in zip(words, words[1:], strict=False)}
+
+
 @dataclass(frozen=True)
 class LicenseModel:
-    """Weights per gram and class (unknown first), the intercepts, the temperature, and the template words."""
+    """Weights per gram and class (unknown first), the intercepts, the temperature, and the word pairs of templates."""
 
     classes: list[str]
     weights: dict[str, np.ndarray]
     intercept: np.ndarray
     temperature: float
-    templates: dict[str, list[frozenset[str]]]
+    templates: dict[str, list[set[str]]]
 
     def classify(self, paragraph: str) -> tuple[str, float, float]:
         """(family or unknown, probability, similarity to the nearest template of the predicted family)."""
@@ -91,7 +96,7 @@ class LicenseModel:
         p /= p.sum()
         best = int(p.argmax())
         family = self.classes[best]
-        seen = frozenset(words)
+        seen = pairs_of(words)
         similarity = max((len(t & seen) / len(t) for t in self.templates.get(family, [])), default=0.0)
         if best and p[best] >= MIN_PROBABILITY and similarity >= MIN_SIMILARITY:
             return family, float(p[best]), similarity
@@ -119,7 +124,7 @@ def train(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> Licens
     lines = lines.where(F.length("line").between(1, 2000)).orderBy(F.xxhash64("line")).limit(MAX_BACKGROUND_PARAGRAPHS)
     background = [r["line"] for r in lines.collect()]
 
-    templates = {family: [frozenset(words_of(n)) for n in names] for family, names in NAMES.items()}
+    templates = {family: [pairs_of(words_of(n)) for n in names] for family, names in NAMES.items()}
     names = [tuple(words_of(n)) for group in NAMES.values() for n in group]
     classes = [UNKNOWN, *NAMES]
     examples = [(frame.format(name), classes.index(family)) for family, group in NAMES.items() for name in group for frame in FRAMES]

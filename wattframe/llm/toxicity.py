@@ -27,8 +27,8 @@ from wattframe.session import materialize
 MAX_TRAINING_DOCUMENTS = 20_000
 VOCABULARY = 2_000
 MIN_DOCUMENTS = 3
-#: Of the likelihood ratio; about one chance in a hundred thousand for a word that says nothing.
-MIN_EVIDENCE = 20.0
+#: Of the log likelihood ratio; a word that says nothing has about one chance in ten thousand.
+MIN_EVIDENCE = 8.0
 STEM = 4
 THRESHOLD = 0.7
 OFFENDING = 0.5
