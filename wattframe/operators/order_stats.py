@@ -1,132 +1,79 @@
-"""Exact order statistics (median, quantiles, k-th smallest) in bounded task and driver memory.
+"""Exact order statistics (median, quantiles, k-th smallest), the same way for any number of groups and rows.
 
-Spark's `median` keeps a map of all distinct values of a group in one task. Here the value range of a group is
-narrowed instead: count the rows per equal-width cell, keep the cell that holds the wanted rank, and repeat
-inside it until the cell holds a single value. A pass shuffles at most `CELLS` counts per task and group, and a
-value that fills a third of the rows is one count there.
+Equal values are counted first. The counts are sorted by group and value into ranges of about equal size, so that a
+large group spans many ranges. Sums per group and range tell which range holds a wanted rank, and only inside that
+range are counts run up. So no group has to fit a task, the number of passes does not depend on the values, and
+nothing but the result's own rows is ever needed on the driver.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 1024
-MAX_GROUPS = 1000
-_MAX_CELLS = 1 << 18
+from wattframe.functions.numbers import nan_to_null
+from wattframe.session import materialize
 
+MAX_BROADCAST_GROUPS = 100_000
 
-@dataclass
-class _Span:
-    group: object
-    low: float
-    high: float
-    below: int
-    ranks: list[int]
 
+def order_statistics(rows: DataFrame, group: str, value: str, ranks: Callable[[Column], Sequence[Column]]) -> DataFrame:
+    """(g, n, v): per group the number of values and, as an array, the values at the 1-based `ranks(n)`.
 
-def order_statistics(
-    rows: DataFrame, group: str, value: str, ranks: Callable[[int], Sequence[int]]
-) -> dict[object, tuple[int, dict[int, float]]] | None:
-    """Per group: n, the number of non-null values, and the values at the 1-based `ranks(n)`.
-
-    Returns None when there are more than MAX_GROUPS groups: their spans then do not belong on the driver.
+    Nulls and NaN are no values; a group without any value is left out. Infinities are the ends of the order. Null
+    is a group of its own.
     """
-    spark = rows.sparkSession
-    rows = rows.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"))
-    ends = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    found = ends.limit(MAX_GROUPS + 1).collect()
-    if len(found) > MAX_GROUPS:
-        return None
-    result: dict[object, tuple[int, dict[int, float]]] = {row["g"]: (row["n"], {}) for row in found}
-    spans = [_Span(r["g"], r["low"], r["high"], 0, sorted(set(ranks(r["n"])))) for r in found]
-    group_type = rows.schema["g"].dataType.simpleString()
-    while True:
-        for span in spans:
-            if span.low == span.high:
-                result[span.group][1].update(dict.fromkeys(span.ranks, span.low))
-        spans = [s for s in spans if s.low < s.high]
-        if not spans:
-            return result
-        spans = _narrow(spark, rows, spans, group_type)
-
-
-def _narrow(spark, rows: DataFrame, spans: list[_Span], group_type: str) -> list[_Span]:
-    cells = min(CELLS, max(16, _MAX_CELLS // len(spans)))
-    # at most two spans per group, and at most MAX_GROUPS groups
-    side = F.broadcast(spark.createDataFrame(
-        [(s.group, i, s.low, s.high, 0.5 if math.isinf(s.high - s.low) else 1.0) for i, s in enumerate(spans)],
-        f"g {group_type}, span int, low double, high double, scale double",
-    ))
-    offset = F.col("v") * F.col("scale") - F.col("low") * F.col("scale")
-    width = F.col("high") * F.col("scale") - F.col("low") * F.col("scale")
-    cell = F.least(F.floor(offset / width * float(cells)), F.lit(cells - 1))
-    counted = (
-        rows.join(side, "g")
-        .where(F.col("v").between(F.col("low"), F.col("high")))
-        .groupBy("span", cell.alias("cell"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-        .collect()
-    )
-    by_span: list[list] = [[] for _ in spans]
-    for row in counted:
-        by_span[row["span"]].append(row)
-    narrowed = []
-    for span, rows_of_span in zip(spans, by_span, strict=True):
-        below, wanted = span.below, list(span.ranks)
-        for row in sorted(rows_of_span, key=lambda r: r["cell"]):
-            here = [r for r in wanted if r <= below + row["n"]]
-            if here:
-                narrowed.append(_Span(span.group, row["low"], row["high"], below, here))
-                wanted = [r for r in wanted if r not in here]
-            below += row["n"]
-    return narrowed
-
-
-def _neighbours(fraction: float) -> Callable[[int], tuple[int, int]]:
-    return lambda n: (math.floor((n - 1) * fraction) + 1, math.ceil((n - 1) * fraction) + 1)
+    kept = rows.select(F.col(group).alias("g"), nan_to_null(F.col(value).cast("double")).alias("v")).where("v is not null")
+    counts = materialize(kept.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    placed = counts.repartitionByRange("g", "v").withColumn("range", F.spark_partition_id())
+    placed = materialize(placed, "value-ranges")  # written, so that the range of a row is settled
+    sums = placed.groupBy("g", "range").agg(F.sum("n").alias("here"))
+    ranges = Window.partitionBy("g").orderBy("range")
+    sums = sums.select(
+        F.col("g").alias("_g"), F.col("range").alias("_range"), "here",
+        (F.sum("here").over(ranges) - F.col("here")).alias("below"),
+        F.sum("here").over(Window.partitionBy("g")).alias("total"))
+    wanted = sums.select("*", F.posexplode(F.array(*[r.cast("bigint") for r in ranks(F.col("total"))])).alias("place", "rank"))
+    wanted = wanted.where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("here")))
+    running = F.sum("n").over(Window.partitionBy("g", "range").orderBy("v"))
+    # only ranges that hold a wanted rank are run up
+    held = wanted.select("_g", "_range").distinct()
+    chosen = placed.join(F.broadcast(held) if _few(held) else held, _same_range(), "left_semi")
+    ends = chosen.select("g", "range", "v", "n", running.alias("end"))
+    found = ends.join(wanted, _same_range()).where(
+        (F.col("rank") <= F.col("below") + F.col("end")) & (F.col("rank") > F.col("below") + F.col("end") - F.col("n")))
+    return found.groupBy("g").agg(
+        F.first("total").alias("n"), F.array_sort(F.collect_list(F.struct("place", "v"))).alias("at")
+    ).select("g", "n", F.col("at.v").alias("v"))
+
+
+def _same_range() -> Column:
+    return F.col("g").eqNullSafe(F.col("_g")) & (F.col("range") == F.col("_range"))
+
+
+def _few(side: DataFrame) -> bool:
+    return side.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
+
+
+def small_side(side: DataFrame, label: str) -> DataFrame:
+    """The frame, written, with a broadcast hint if it has few rows; a join gives the same without it."""
+    side = materialize(side, label)
+    return F.broadcast(side) if _few(side) else side
 
 
 def quantiles(rows: DataFrame, group: str, value: str, fraction: float = 0.5, output: str = "quantile") -> DataFrame:
-    """Quantile per group, interpolated between the two neighbouring ranks; nulls do not count."""
-    neighbours = _neighbours(fraction)
-    found = order_statistics(rows, group, value, neighbours)
-    if found is None:
-        return _quantiles_of_many_groups(rows, group, value, fraction, output)
-    result = []
-    for key, (size, by_rank) in found.items():
-        first, second = neighbours(size)
-        weight = (size - 1) * fraction - (first - 1)
-        result.append((key, by_rank[first] + (by_rank[second] - by_rank[first]) * weight))
-    kind = rows.schema[group].dataType.simpleString()
-    # at most MAX_GROUPS rows, which a join may broadcast
-    return F.broadcast(rows.sparkSession.createDataFrame(result, f"`{group}` {kind}, `{output}` double"))
-
-
-def _quantiles_of_many_groups(rows: DataFrame, group: str, value: str, fraction: float, output: str) -> DataFrame:
-    """The same without anything on the driver: count by value, then one running count per group.
-
-    The running count streams over sorted, spillable counts and keeps no map of values.
+    """Quantile per group, interpolated between the two neighbouring ranks; nulls and NaN do not count.
+
+    Between a finite value and an infinite one it is infinite, between the two infinities it is null.
     """
-    counts = (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(group, F.col(value).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    running = counts.withColumn("end", F.sum("n").over(Window.partitionBy(group).orderBy("v")))
-    total = counts.groupBy(group).agg(((F.sum("n") - 1) * F.lit(float(fraction))).alias("at"))
-    rank: Column = F.col("at")
-    return (
-        running.join(total, group)
-        .groupBy(group, "at")
-        .agg(F.min(F.when(F.col("end") > F.floor(rank), F.col("v"))).alias("low"),
-             F.min(F.when(F.col("end") > F.ceil(rank), F.col("v"))).alias("high"))
-        .select(group, (F.col("low") + (F.col("high") - F.col("low")) * (rank - F.floor(rank))).alias(output))
-    )
+    at = lambda n: (n - 1) * F.lit(float(fraction))
+    found = order_statistics(rows, group, value, lambda n: (F.floor(at(n)) + 1, F.ceil(at(n)) + 1))
+    low, high = F.col("v")[0], F.col("v")[1]
+    weight = at(F.col("n")) - F.floor(at(F.col("n")))
+    between = F.when((low == high) | (weight == 0), low).otherwise(nan_to_null(low + (high - low) * weight))
+    return small_side(found.select(F.col("g").alias(group), between.alias(output)), "quantiles")
 
 
 def most_frequent(rows: DataFrame, group: str, value: str, output: str = "mode") -> DataFrame:

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.errors import ArgumentError
-from wattframe.operators.order_stats import order_statistics
+from wattframe.operators.order_stats import order_statistics, small_side
 
 _STEPS = 1 << 30
 
@@ -29,17 +28,15 @@ def split_stratified(df: DataFrame, key: Sequence[str], label: str, fraction: fl
                      order: Column | None = None) -> DataFrame:
     """Adds `side`: in each class the rows with the smallest hash, `fraction` of the class, are the test side.
 
-    The cut of each class is an exact order statistic, found by counting; rows are then compared with it.
+    The cut of each class is an exact order statistic; rows are then compared with it. A null label is a class.
     """
     position = row_hash(key, seed) if order is None else order
-    hashed = df.select(F.col(label).alias("label"), position.alias("position"))
-    cuts = order_statistics(hashed, "label", "position", lambda n: [max(1, round(n * fraction))])
-    if cuts is None:
-        raise ArgumentError("too many classes for an exact split; use split_random")
-    cut = F.lit(None).cast("double")
-    for value, (_, by_rank) in cuts.items():
-        cut = F.when(F.col(label).eqNullSafe(F.lit(value)), F.lit(*by_rank.values())).otherwise(cut)
-    return df.withColumn("side", F.when(position.cast("double") <= cut, "test").otherwise("train"))
+    hashed = df.select(F.col(label).alias("label"), position.cast("double").alias("position"))
+    cuts = order_statistics(hashed, "label", "position", lambda n: [F.greatest(F.lit(1), F.bround(n * fraction))])
+    cuts = small_side(cuts.select(F.col("g").alias("_label"), F.col("v")[0].alias("_cut")), "split-cuts")
+    side = F.when(position.cast("double") <= F.col("_cut"), "test").otherwise("train")
+    joined = df.join(cuts, F.col(label).eqNullSafe(F.col("_label")), "left")
+    return joined.withColumn("side", side).drop("_label", "_cut")
 
 
 def split_sizes(df: DataFrame) -> DataFrame:

@@ -20,7 +20,8 @@ def fingerprint(df: DataFrame) -> DataFrame:
     values = [x for c in df.columns for x in (F.col(c), F.col(c).isNull())]
     return df.select(F.xxhash64(header, *values).alias("h")).agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum(F.pmod("h", F.lit(2147483648))), F.lit(0)).alias("sum_hash"),
+        # a 64-bit sum would overflow at some billions of rows
+        F.coalesce(F.sum(F.pmod("h", F.lit(2147483648)).cast("decimal(28,0)")), F.lit(0)).alias("sum_hash"),
         F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor_hash"),
     )
 
