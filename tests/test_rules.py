@@ -19,6 +19,13 @@ def test_cube_equals_fp_growth(readings, support):
     assert (cube.transactions, cube.items) == (growth.transactions, growth.items)
 
 
+def test_a_count_on_the_threshold_counts_either_way(spark):
+    rows = spark.createDataFrame([("x" if i < 7 else f"y{i % 4}", "k") for i in range(100)], "p string, q string")
+    baskets = rows.select(F.array(F.concat(F.lit("p="), "p"), F.concat(F.lit("q="), "q")).alias("items"))
+    assert (("p=x",), 7) in as_sets(I.basket_itemsets(baskets, 0.07))
+    assert [I.minimum_count(100, s) for s in (0.07, 0.071, 0.001, 1.0)] == [7, 8, 1, 100]
+
+
 def test_rules_have_item_sets_on_both_sides(readings):
     found = I.frequent_itemsets(readings, 0.05, READINGS)
     counts = {tuple(r["items"]): r["n"] for r in found.sets.collect()}

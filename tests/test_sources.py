@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattframe.errors import ArgumentError
 from wattframe.session import materialize, scratch_dir
 from wattframe.sources.csv_files import METERED_SCHEMA, NULL_TOKENS, read_csv
 from wattframe.sources.store import fingerprint, ingest, load_table, signature, write_table
@@ -92,3 +93,14 @@ def test_filters_skip_files_and_columns(spark):
     assert "PartitionFilters: [isnotnull(month" in plan and "LessThan(id,100)" in plan
     assert "ReadSchema: struct<id:bigint>" in plan
     assert chosen.count() == len([i for i in range(100) if i % 12 + 1 == 3])
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    kind = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.DoubleType())])
+    for name, text in {"turned": 'b,a\n1.5,"x, y"\n', "plain": "a,b\nz,2\n", "other": "a,c\nz,2\n", "breaks": 'a,b\n"x\ny",3\n'}.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "turned.csv"), kind).collect()] == [("x, y", 1.5)]
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "plain.csv"), kind).collect()] == [("z", 2.0)]
+    assert [tuple(r) for r in read_csv(spark, str(tmp_path / "breaks.csv"), kind, line_breaks=True).collect()] == [("x\ny", 3.0)]
+    with pytest.raises(ArgumentError):
+        read_csv(spark, str(tmp_path / "other.csv"), kind)

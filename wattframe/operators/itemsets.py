@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
@@ -61,6 +62,11 @@ class ItemSets:
             half_up(_support(self.transactions), digits).alias("support"))
 
 
+def minimum_count(transactions: int, min_support: float) -> int:
+    """The smallest count that has the support; one integer for every way of mining (7 of 100 has support 0.07)."""
+    return max(1, ceil(transactions * min_support - 1e-9 * max(transactions, 1)))
+
+
 def _support(transactions: int) -> Column:
     return F.col("n") / F.lit(max(transactions, 1))
 
@@ -89,7 +95,7 @@ def frequent_itemsets(df: DataFrame, min_support: float = 0.1, roles: Roles = ME
         absent = F.col("gid").bitwiseAND(F.lit(1 << (len(names) - 1 - i))) != 0
         complete = complete & (absent | F.col(c).isNotNull())
     sets = (
-        sums.where(complete & (_support(facts["n"]) >= F.lit(float(min_support))))
+        sums.where(complete & (F.col("n") >= minimum_count(facts["n"], min_support)))
         .select(F.array_sort(F.array_compact(F.array(*names))).alias("items"), "n")
     )
     return ItemSets(sets, facts["n"], sum(facts[c] for c in names),
@@ -99,10 +105,13 @@ def frequent_itemsets(df: DataFrame, min_support: float = 0.1, roles: Roles = ME
 def basket_itemsets(baskets: DataFrame, min_support: float, items: str = "items") -> ItemSets:
     """The same for baskets of any width: an array column of distinct items per row."""
     check_thresholds(min_support, 1.0)
-    model = FPGrowth(itemsCol=items, minSupport=min_support, minConfidence=1.0).fit(baskets)
+    total = baskets.count()
+    # half a transaction below the count, as the library rounds up
+    share = (minimum_count(total, min_support) - 0.5) / max(total, 1)
+    model = FPGrowth(itemsCol=items, minSupport=share, minConfidence=1.0).fit(baskets)
     sets = model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))
     distinct_items = baskets.select(F.explode(items).alias("item")).distinct().count()
-    return ItemSets(sets, baskets.count(), distinct_items, small=False)
+    return ItemSets(sets, total, distinct_items, small=False)
 
 
 def association_rules(found: ItemSets, min_confidence: float = 0.6) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wattframe.errors import ArgumentError
 from wattframe.functions.numbers import to_number
 
 # Texts that a data-frame CSV reader treats as missing.
@@ -52,18 +53,20 @@ def _typed(text: Column, wanted: T.DataType) -> Column:
     return known.try_cast(wanted)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = METERED_SCHEMA) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = METERED_SCHEMA, line_breaks: bool = False) -> DataFrame:
     """Read every field as text first, so that a bad field becomes null and never drops its row.
 
-    Columns are taken from the file by position; the header line is skipped.
+    Columns are found by their names in the header, in any order; a missing or unknown name is an error, and so is
+    a file whose header differs from that of the first one. `line_breaks`: fields may hold quoted line breaks,
+    which costs one task per file instead of one per block.
     """
-    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    lines = (
-        spark.read.schema(as_text)
-        .option("header", True).option("enforceSchema", True)
-        .option("quote", '"').option("escape", '"')
-        .csv(path)
-    )
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": line_breaks}
+    names = spark.read.options(**options).csv(path).columns
+    if sorted(names) != sorted(schema.names):
+        raise ArgumentError(
+            f"header of {path}: missing {sorted(set(schema.names) - set(names))}, unknown {sorted(set(names) - set(schema.names))}")
+    as_text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    lines = spark.read.options(**options, enforceSchema=False).schema(as_text).csv(path)
     return lines.select(*[_typed(F.col(f.name), f.dataType).alias(f.name) for f in schema])
 
 

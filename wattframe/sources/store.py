@@ -37,6 +37,8 @@ def write_table(df: DataFrame, path: str, sort_by: Sequence[str] = (), partition
     A filter on a `partition_by` column (few values, such as the month) reads only its folders; rows sorted
     within each file let a filter on a `sort_by` column skip row groups by their min/max.
     """
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)  # else every task writes a file into every folder
     if sort_by or partition_by:
         df = df.sortWithinPartitions(*partition_by, *sort_by)
     writer = df.write.mode("overwrite")
