@@ -162,6 +162,16 @@ def test_licenses_of_the_table(license_model, documents):
         assert [(x["start"], x["family"]) for x in r["licenses"]] == sorted(want)
 
 
+def test_license_grams_lie_in_runs_of_known_words(license_model, documents):
+    pairs = set().union(*(p for group in license_model.templates.values() for p in group))
+    for r in documents.limit(50).collect():
+        for line in (r["text"] or "").split("\n"):
+            words = licenses.words_of(line)
+            runs = licenses.runs_of(words, license_model.known)
+            assert {g for run in runs for g in licenses.grams_of(run)} >= {g for g in licenses.grams_of(words) if g in license_model.weights}
+            assert {p for run in runs for p in licenses.pairs_of(run)} & pairs == licenses.pairs_of(words) & pairs
+
+
 def test_licenses_unknown_and_awkward(license_model, awkward, clashing):
     for text in ("The general public may see version 3 of the work.", "MIT students got a driving license.", "licensed", "the", ""):
         assert license_model.classify(text)[0] == licenses.UNKNOWN

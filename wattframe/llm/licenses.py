@@ -65,6 +65,18 @@ def words_of(paragraph: str) -> list[str]:
     return _WORD.findall(paragraph.lower())
 
 
+def runs_of(words: list[str], known: frozenset[str]) -> list[list[str]]:
+    """The words, cut at those that no notice holds: grams and pairs of notices lie within a run."""
+    runs, run = [], []
+    for word in words:
+        if word in known:
+            run.append(word)
+        elif run:
+            runs.append(run)
+            run = []
+    return [*runs, run] if run else runs
+
+
 def grams_of(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
@@ -83,11 +95,12 @@ class LicenseModel:
     intercept: np.ndarray
     temperature: float
     templates: dict[str, list[set[str]]]
+    known: frozenset[str]
 
     def classify(self, paragraph: str) -> tuple[str, float, float]:
         """(family or unknown, probability, similarity to the nearest template of the predicted family)."""
-        words = words_of(paragraph)
-        known = [self.weights[g] for g in grams_of(words) if g in self.weights]
+        runs = runs_of(words_of(paragraph), self.known)
+        known = [self.weights[g] for g in set().union(*map(grams_of, runs)) if g in self.weights]
         if not known:
             return UNKNOWN, 1.0, 0.0
         # as in training, a vector of length 1 whatever the length of the paragraph
@@ -96,7 +109,7 @@ class LicenseModel:
         p /= p.sum()
         best = int(p.argmax())
         family = self.classes[best]
-        seen = pairs_of(words)
+        seen = set().union(*map(pairs_of, runs))
         similarity = max((len(t & seen) / len(t) for t in self.templates.get(family, [])), default=0.0)
         if best and p[best] >= MIN_PROBABILITY and similarity >= MIN_SIMILARITY:
             return family, float(p[best]), similarity
@@ -176,7 +189,8 @@ def _fit(classes: list[str], examples: list[tuple[str, int]], templates) -> Lice
     for temperature in (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0):
         p = softmax(final / temperature)[np.arange(holdout.sum()), label[holdout]]
         best = min(best, (float(-np.log(np.maximum(p, 1e-12)).mean()), temperature))
-    return LicenseModel(classes, {g: w[i] for g, i in vocabulary.items()}, b, best[1], templates)
+    words = frozenset(g for g in vocabulary if " " not in g)
+    return LicenseModel(classes, {g: w[i] for g, i in vocabulary.items()}, b, best[1], templates, words)
 
 
 def scan_licenses(docs: DataFrame, model: LicenseModel, text: str = "text") -> DataFrame:
