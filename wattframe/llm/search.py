@@ -28,7 +28,11 @@ QUERY_BLOCK = 8_192
 FIRST_WAVE = 0.05
 _EXACT = float(1 << 53)
 _LOWEST = -(1 << 63)
-_RESULT = "query_id bigint, vec_id bigint, score bigint"
+_HIGHEST = (1 << 63) - 1
+#: `beyond` is null inside 64 bits; at the ends it holds the whole score, in bytes that sort like the number.
+_RESULT = "query_id bigint, vec_id bigint, score bigint, beyond binary"
+_FOUND = ["query_id", "vec_id", "score", "beyond"]
+_BEYOND_BYTES = 24
 
 
 def quantise(vector: Column, scale: float = 256.0) -> Column:
@@ -168,9 +172,15 @@ def _matrix(column: pa.Array) -> list[np.ndarray]:
 
 
 def _exact_scores(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Inner products of integers beyond the doubles' exact range, saturating."""
-    whole = queries.astype(object) @ vectors.astype(object).T
-    return np.clip(whole, _LOWEST, -_LOWEST - 1)
+    """Inner products of integers beyond the doubles' exact range, as whole numbers of any size."""
+    return queries.astype(object) @ vectors.astype(object).T
+
+
+def _beyond(score: int) -> bytes | None:
+    """The score as sortable bytes where 64 bits saturate; |score| is below 2^126 times the vector's length."""
+    if _LOWEST < score < _HIGHEST:
+        return None
+    return (score + (1 << (8 * _BEYOND_BYTES - 1))).to_bytes(_BEYOND_BYTES, "big")
 
 
 def _search_rows(shared, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,16 +203,19 @@ def _search_rows(shared, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[
                 keep = (best.score > -np.inf) & (best.score >= floor[theirs][:, None])
                 row, place = np.nonzero(keep)
                 found = query_ids[theirs][row], best.ids[row, place], best.score[row, place].astype(np.int64)
+                beyond = pa.nulls(len(row), pa.binary())
             else:  # huge components: whole numbers, without a tree
                 score = _exact_scores(q, x)
                 apart = query_ids[theirs][:, None] != ids[mine][None, :]
-                found = [], [], []
+                found, exact = ([], [], []), []
                 for r in range(len(theirs)):
                     ranked = sorted((-int(s), int(i)) for s, i, a in zip(score[r], ids[mine], apart[r], strict=True) if a)[:k]
                     found[0].extend([int(query_ids[theirs[r]])] * len(ranked))
                     found[1].extend([i for _, i in ranked])
-                    found[2].extend([-s for s, _ in ranked])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
+                    found[2].extend([max(min(-s, _HIGHEST), _LOWEST) for s, _ in ranked])
+                    exact.extend([_beyond(-s) for s, _ in ranked])
+                beyond = pa.array(exact, pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in found), beyond], _FOUND)
 
     rows = 0
     for batch in batches:
@@ -226,7 +239,8 @@ def top_inner_products(
     Ties go to the smaller id. Rows with a null id, a null vector, or null or non-finite components take no part.
     Vectors of different length have no inner product. Rows that share an id are candidates of their own, and a
     query ignores all rows of its id; several vectors of one query id are answered together. Scores are exact
-    integers, saturating at 64 bits. Empty tables give an empty result.
+    integers; ranks follow their full values, and what is returned saturates at 64 bits, as components do. Empty
+    tables give an empty result.
     """
     spark = vectors.sparkSession
 
@@ -257,18 +271,18 @@ def top_inner_products(
         floor = np.array([reached.get(int(i), -np.inf) for i in ids])
         # beyond the exact doubles the floor is left open
         floor = np.where(np.abs(floor) < _EXACT, floor, -np.inf)
-        found = start.select("query_id", "vec_id", "score").unionAll(wave(stored.where(~first), floor))
+        found = start.select(_FOUND).unionAll(wave(stored.where(~first), floor))
         _best_rows(found, k).write.parquet(f"{path}/block={block}")
     result = spark.read.schema(f"{_RESULT}, rank int").parquet(*[f"{path}/block={b}" for b in range(blocks)])
-    return _best_rows(result.select("query_id", "vec_id", "score"), k)
+    return _best_rows(result.select(_FOUND), k).drop("beyond")
 
 
 def _best_rows(rows: DataFrame, k: int) -> DataFrame:
     """The k best per query; Spark cuts each task's rows to k per query before the shuffle."""
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("beyond").desc(), "vec_id")
     return (
         rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", "score", "beyond")
     )
 
 
