@@ -37,6 +37,9 @@ def test_profiles_are_numbered_by_energy(readings):
     assert sum(r["percent"] for r in rows) == pytest.approx(100, abs=0.3)
     assert rows[0]["name"] == "Cluster 1 (Low energy)"
     assert found.reports["silhouette"].first()["sampled"] == 3000
+    summary = found.reports["summary"].first()
+    assert summary["k"] == found.k and summary["records"] == found.numbered.count()
+    assert summary["inertia"] == pytest.approx(found.fit.cost, rel=1e-6, abs=0.1)
     scatter = found.reports["scatter"]
     assert scatter.count() == 900
     assert 30 < found.reports["variance"].agg(F.sum("explained_pct")).first()[0] < 100

@@ -38,7 +38,8 @@ def apply_filters(
 
 
 def filter_options(df: DataFrame, roles: Roles = METERED) -> DataFrame:
-    """(kind, value, label): distinct buildings, types and months. One pass; sort by (kind, value) to show."""
+    """(kind, value, label): distinct buildings, types, months and categories. One pass; sort by (kind, value) to
+    show. The fixed order of the categories is in `category_options`."""
     number = F.lpad(F.col(roles.month).cast("string"), 2, "0")
     kinds = F.array(
         F.struct(F.lit("building").alias("kind"), F.col(roles.entity).alias("value"),
@@ -46,6 +47,8 @@ def filter_options(df: DataFrame, roles: Roles = METERED) -> DataFrame:
         F.struct(F.lit("building_type").alias("kind"), F.col(roles.entity_type).alias("value"),
                  F.col(roles.entity_type).alias("label")),
         F.struct(F.lit("month").alias("kind"), number.alias("value"), month_label(F.col(roles.month)).alias("label")),
+        F.struct(F.lit("category").alias("kind"), F.col(roles.category).alias("value"),
+                 F.col(roles.category).alias("label")),
     )
     return df.select(F.inline(kinds)).distinct()
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from wattframe.functions.numbers import half_up
 from wattframe.operators.clusters import (
     ALLOWED_K, KMeansFit, Projection, assign_centers, check_k, cluster_profile, fit_kmeans, fit_projection,
     pca_scatter, pca_variance, renumber, silhouette_sampled,
@@ -49,6 +51,8 @@ def _profiles(scaled: DataFrame, roles: Roles, k: int, restarts: int) -> Profile
     projection = fit_projection(scaled, columns)
     key = roles.key or roles.cluster_numeric
     reports = {
+        "summary": numbered.agg(
+            F.lit(k).alias("k"), F.count(F.lit(1)).alias("records"), half_up(F.sum("distance2"), 1).alias("inertia")),
         "profile": cluster_profile(numbered, centers, roles=roles),
         "silhouette": silhouette_sampled(numbered, columns, key, range(1, k + 1)),
         "variance": pca_variance(scaled, projection),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions.numbers import half_up
 from wattframe.operators import cleaning as C
+from wattframe.operators import clusters as K
 from wattframe.operators import profiling as P
 from wattframe.operators.encoding import domain_rows, fit_scaler, one_hot, ordinal_code
 from wattframe.session import scratch_dir
@@ -314,3 +315,57 @@ _PREVIEW = ("temperature_c", "occupancy_pct", "hvac_usage_pct", "lighting_usage_
     + " FROM readings, stats ORDER BY reading_id, energy_consumption_kwh LIMIT 5")
 def preview_scaled(spark, sf_dir):
     return P.preview_scaled(readings(spark, sf_dir), READINGS, order=("reading_id", "energy_consumption_kwh"))
+
+
+# Raw rows, cleaned, then measured: what a report on an imported table reads.
+_CLEANED = ("temperature_c", "occupancy_pct", "energy_consumption_kwh")
+_CLEANED_FEATURES = ("temperature_c", "occupancy_pct", "hour")
+_CLEANED_STATS = ", stats AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _CLEANED) + " FROM cleaned)"
+_CLEANED_CENTERS = [[-0.8, -0.9, -1.0], [0.9, 0.1, 0.2], [0.2, 1.0, 1.1]]
+
+
+def _cleaned(spark, sf_dir):
+    return C.clean(readings_raw(spark, sf_dir), RAW).rows
+
+
+@query("scaling_from_raw", CLEAN + _CLEANED_STATS + " UNION ALL ".join(
+    f"""SELECT {i} AS position, '{c}' AS "column", {hu(f'avg({c})', 3)} AS mean_before,
+ {hu(f'stddev_samp({c})', 3)} AS std_before, {hu(f'avg(({c} - m_{c}) / s_{c})', 3)} AS mean_after,
+ {hu(f'stddev_pop(({c} - m_{c}) / s_{c})', 3)} AS std_after FROM cleaned, stats"""
+    for i, c in enumerate(_CLEANED)))
+def scaling_from_raw(spark, sf_dir):
+    return P.scaling_report(_cleaned(spark, sf_dir), _CLEANED)
+
+
+@query("correlation_from_raw", CLEAN + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {hu(f'corr({c}, energy_consumption_kwh)', 3)} AS corr_with_energy FROM cleaned"
+    for c in _CLEANED_FEATURES))
+def correlation_from_raw(spark, sf_dir):
+    return P.corr_with_target(_cleaned(spark, sf_dir), _CLEANED_FEATURES, RAW.measure)
+
+
+@query("anova_from_raw", CLEAN + ", per_class AS (" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS feature, energy_category, count({c}) AS n, avg({c}) AS m, var_pop({c}) AS v
+ FROM cleaned GROUP BY energy_category""" for c in _CLEANED_FEATURES) + f"""),
+ grand AS (SELECT feature, sum(n * m) / sum(n) AS g FROM per_class GROUP BY feature),
+ scores AS (SELECT feature, (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f
+  FROM per_class JOIN grand USING (feature) GROUP BY feature)
+SELECT feature, {hu('f', 1)} AS f_score FROM scores""")
+def anova_from_raw(spark, sf_dir):
+    return P.anova_f(_cleaned(spark, sf_dir), _CLEANED_FEATURES, RAW.category)
+
+
+@query("clusters_from_raw", CLEAN + _CLEANED_STATS + ", d AS (SELECT " + ", ".join(
+    " + ".join(f"(({c} - m_{c}) / s_{c} - {x}::DOUBLE) * (({c} - m_{c}) / s_{c} - {x}::DOUBLE)"
+               for c, x in zip(_CLEANED, center, strict=True)) + f" AS d{i}"
+    for i, center in enumerate(_CLEANED_CENTERS)) + f""" FROM cleaned, stats),
+ near AS (SELECT least(d0, d1, d2) AS d, CASE least(d0, d1, d2) WHEN d0 THEN 0 WHEN d1 THEN 1 ELSE 2 END AS cluster FROM d)
+SELECT cluster, count(*) AS records, {hu('sum(d)', 1)} AS inertia FROM near GROUP BY cluster""")
+def clusters_from_raw(spark, sf_dir):
+    """Cleaned rows on the z-scale, at fixed centers."""
+    rows = _cleaned(spark, sf_dir).select(*_CLEANED)
+    scaled = fit_scaler(rows, _CLEANED).transform(rows)
+    assigned = K.assign_centers(scaled, [f"z_{c}" for c in _CLEANED], _CLEANED_CENTERS)
+    return assigned.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("records"), half_up(F.sum("distance2"), 1).alias("inertia"))

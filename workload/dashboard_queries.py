@@ -53,7 +53,8 @@ def filtered_kpis(spark, sf_dir):
 
 @query("filter_options", R + f"""SELECT DISTINCT 'building' AS kind, building_name AS value, building_name AS label
  FROM readings UNION ALL SELECT DISTINCT 'building_type', building_type, building_type FROM readings
- UNION ALL SELECT DISTINCT 'month', lpad(CAST(month AS VARCHAR), 2, '0'), {MONTH} FROM readings""")
+ UNION ALL SELECT DISTINCT 'month', lpad(CAST(month AS VARCHAR), 2, '0'), {MONTH} FROM readings
+ UNION ALL SELECT DISTINCT 'category', energy_category, energy_category FROM readings""")
 def options(spark, sf_dir):
     return filter_options(readings(spark, sf_dir), READINGS)
 
