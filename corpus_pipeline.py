@@ -19,6 +19,8 @@ from wattframe.llm.toxicity import score_documents, train
 from wattframe.session import materialize
 
 SHARDS = 8
+#: Documents of this similarity (percent) are near duplicates here; op6 has a contract of its own.
+NEAR_PERCENT = 80
 #: The trained model, the hashed signatures and the hash orders of the stages have no SQL; tests use brute force.
 ORACLE_SQL = None
 
@@ -32,8 +34,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one with the smallest id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of similarity 0.8 or more stays, the one with the smallest id."""
+    return drop_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

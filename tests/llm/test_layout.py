@@ -1,5 +1,6 @@
 """Sharding, mixing and the pipeline."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +12,7 @@ from tests.llm.test_pairs import brute_components
 from tests.llm.test_texts import brute_contamination
 from wattframe.errors import ArgumentError
 from wattframe.llm import queries
+from wattframe.llm.minhash import band_layout
 from wattframe.llm.mixing import _knots, curriculum_mix, curriculum_plan, training_time
 from wattframe.llm.sharding import histogram_shards
 
@@ -130,3 +132,35 @@ def test_pipeline_stages_keep_clashing_columns(spark, sf_dir, clashing):
     empty = clashing.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def planted_pairs(low, high, seed=11):
+    """Pairs and chains of documents; neighbours have a similarity of `low` to below `high` percent."""
+    rng, rows = random.Random(seed), []
+    while len(rows) < 150:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(rng.choice([2, 2, 3])):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            for i in rng.sample(range(20), 4):  # each new word changes five shingles of 196
+                words[10 * i + 5] = f"x{rng.randrange(10**6)}"
+    sets = [{tuple(t.split()[j:j + 5]) for j in range(196)} for _, t in rows]
+    shared = [len(a & b) / len(a | b) for a, b in zip(sets, sets[1:], strict=False)]
+    return rows, [s for s in shared if s > 0.5 and 100 * s >= low and 100 * s < high]
+
+
+def test_near_dedup_stage_at_80_percent(spark, sf_dir, documents, make_docs):
+    rows, between = planted_pairs(80, 85)
+    assert len(between) > 50
+    stage = dict(corpus_pipeline.STAGES)["minhash_near_dedup"]
+    for docs in (make_docs(rows), documents):
+        texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+        found = sorted(r["doc_id"] for r in stage(spark, docs, sf_dir).collect())
+        assert found == [i for i, _, _, keep in brute_components(texts, 80) if keep]
+        assert found != [i for i, _, _, keep in brute_components(texts, 85) if keep]
+
+
+def test_bands_find_what_reaches_the_threshold():
+    assert band_layout(85) == (8, 40) and band_layout(80) == (6, 42)
+    with pytest.raises(ArgumentError):
+        band_layout(0)

@@ -11,8 +11,9 @@ blocks of bounded size within a task: there the estimate leaves families of clas
 family's full sets are compared once more in blocks. A block gives a spanning forest of its links, so that rows grow
 with the members and no link that would join two components is lost.
 
-Bands of 8 minima, 40 of them: two sets of similarity 0.85 share a band with probability 1 - 3e-6. The estimate
-has a standard deviation of 0.024 at the threshold; what lies five of them below is dropped unseen.
+Two sets at the threshold share a band with probability 1 - 3e-6 or more: 40 bands of 8 minima at 0.85, 42 bands of
+6 at 0.80. The estimate has a standard deviation of 0.024 at 0.85 and 0.027 at 0.80; what lies five of them below the
+threshold is dropped unseen.
 """
 
 from __future__ import annotations
@@ -26,16 +27,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattframe.errors import ArgumentError
 from wattframe.llm.components import connected_components
 from wattframe.llm.sizes import broadcast_if_small
 from wattframe.session import materialize
 
 SHINGLE = 5
 BAND_ROWS = 8
-BANDS = 40
+#: Two sets at the threshold share no band with at most this probability.
+MAX_MISS = 3e-6
 KEPT_BITS = 2
 SEED = 20_240_229
-MINIMA = BAND_ROWS * BANDS
+MINIMA = 320
 PLANE_WORDS = MINIMA // 64
 _CHUNK = 2048
 BLOCK_ROWS = 512
@@ -71,8 +74,18 @@ def shingles(text: bytes, known: dict[bytes, int]) -> np.ndarray:
     return np.unique(total)
 
 
+def band_layout(percent: int) -> tuple[int, int]:
+    """(minima per band, bands): the widest bands, and the fewest of them, that miss at most MAX_MISS at the threshold."""
+    for rows in range(BAND_ROWS, 0, -1):
+        for bands in range(1, MINIMA // rows + 1):
+            if (1 - (percent / 100) ** rows) ** bands <= MAX_MISS:
+                return rows, bands
+    raise ArgumentError(f"no bands of {MINIMA} minima find similarities of {percent} %")
+
+
 class _Signer:
-    def __init__(self) -> None:
+    def __init__(self, percent: int = 85) -> None:
+        self.band_rows, self.n_bands = band_layout(percent)
         rng = np.random.default_rng(SEED)
         self.a = (rng.integers(0, 1 << 31, MINIMA, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
         self.b = rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
@@ -93,11 +106,10 @@ class _Signer:
         return np.concatenate([np.packbits(((mixed >> np.uint64(i)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
                                for i in range(KEPT_BITS)])
 
-    @staticmethod
-    def bands(least: np.ndarray) -> np.ndarray:
-        rows = least.astype(np.uint64).reshape(BANDS, BAND_ROWS)
-        key = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for i in range(BAND_ROWS):
+    def bands(self, least: np.ndarray) -> np.ndarray:
+        rows = least[: self.n_bands * self.band_rows].astype(np.uint64).reshape(self.n_bands, self.band_rows)
+        key = np.arange(1, self.n_bands + 1, dtype=np.uint64)
+        for i in range(self.band_rows):
             key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
         return key.view(np.int64)
 
@@ -112,24 +124,28 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    signer, known = _Signer(), _WordHashes()
-    nothing = np.empty(0, np.int64)
-    for whole in batches:
-        for start in range(0, whole.num_rows, 1000):
-            batch = whole.slice(start, 1000)
-            sizes, sums, mixes, planes, bands = [], [], [], [], []
-            for text in _texts(batch):
-                found = shingles(text or b"", known)
-                sizes.append(len(found))
-                sums.append(int(found.sum(dtype=np.uint64).view(np.int64)))
-                mixes.append(int(np.bitwise_xor.reduce(_mix(found), initial=np.uint64(0)).view(np.int64)))
-                least = signer.minima(found) if len(found) else None
-                planes.append(nothing if least is None else signer.planes(least))
-                bands.append(nothing if least is None else signer.bands(least))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(mixes, pa.int64()),
-                 _lists(planes), _lists(bands)], ["doc_id", "n", "f1", "f2", "planes", "bands"])
+def _sign(percent: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer, known = _Signer(percent), _WordHashes()
+        nothing = np.empty(0, np.int64)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                sizes, sums, mixes, planes, bands = [], [], [], [], []
+                for text in _texts(batch):
+                    found = shingles(text or b"", known)
+                    sizes.append(len(found))
+                    sums.append(int(found.sum(dtype=np.uint64).view(np.int64)))
+                    mixes.append(int(np.bitwise_xor.reduce(_mix(found), initial=np.uint64(0)).view(np.int64)))
+                    least = signer.minima(found) if len(found) else None
+                    planes.append(nothing if least is None else signer.planes(least))
+                    bands.append(nothing if least is None else signer.bands(least))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()),
+                     pa.array(mixes, pa.int64()), _lists(planes), _lists(bands)],
+                    ["doc_id", "n", "f1", "f2", "planes", "bands"])
+
+    return sign
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +157,11 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(found)], ["doc_id", "shingles"])
 
 
-def signatures(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def signatures(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent: int = 85) -> DataFrame:
     """(doc_id, n, f1, f2, planes, bands): size and 128-bit fingerprint of the set, packed low bits, band hashes."""
     thin = docs.select(F.col(row_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return thin.mapInArrow(
-        _sign, "doc_id bigint, n bigint, f1 bigint, f2 bigint, planes array<bigint>, bands array<bigint>")
+        _sign(percent), "doc_id bigint, n bigint, f1 bigint, f2 bigint, planes array<bigint>, bands array<bigint>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -201,7 +217,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id",
     links count together. An empty table gives an empty result. Long texts are hashed whole, in blocks; one text
     and its shingles must fit a Python worker.
     """
-    signed = materialize(signatures(docs, text, row_id), "signatures")
+    signed = materialize(signatures(docs, text, row_id, percent), "signatures")
     threshold = percent / 100
     classes = materialize(
         signed.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -394,9 +410,9 @@ def _common(table: pa.Table) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc_id", percent: int = 85) -> DataFrame:
     """One document of each group: the one with the smallest id; all columns as they were."""
-    gone = near_duplicates(docs, text, row_id).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, text, row_id, percent).where(~F.col("kept")).select("doc_id").distinct()
     gone = broadcast_if_small(materialize(gone, "near-duplicates"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(row_id).cast("bigint").alias("doc_id"))
     return rows.join(gone, "doc_id", "left_anti").select("_row.*")
