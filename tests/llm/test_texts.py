@@ -223,3 +223,14 @@ def test_languages(spark, documents, clashing, make_docs):
     assert abs(sum(x["share"] for x in mixed["languages"]) - 1) < 1e-3
     nothing = langid.train(documents.limit(0))
     assert {r["lang_pred"] for r in langid.detect_languages(clashing, nothing).collect()} == {"und"}
+
+
+def test_text_in_every_language(documents, make_docs):
+    model = langid.train(documents)
+    assert len(model.names) > 3
+    parts = [next(r["text"] for r in documents.where(F.col("lang") == lang).where(F.length("text") > 1500).collect())[:1500]
+             for lang in model.names]
+    found = langid.detect_languages(make_docs([(1, " ".join(parts)), (2, parts[0])]), model).collect()
+    languages = {r["doc_id"]: {x["lang"]: x["share"] for x in r["languages"]} for r in found}
+    assert set(languages[1]) == set(model.names) and all(abs(s - 1 / len(parts)) < 0.1 for s in languages[1].values())
+    assert set(languages[2]) == {model.names[0]}

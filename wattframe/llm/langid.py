@@ -2,7 +2,7 @@
 
 A language is a distribution over hashed letter trigrams, learned from labelled documents. The trigrams of a
 document are explained by a mixture of these; EM estimates the shares. Which languages belong to the set is decided
-by the likelihood less a penalty per language: sets of the 1, 2, .. largest shares are refitted and compared. The
+by the likelihood less a penalty per language: sets of the 1, 2, .. all largest shares are refitted and compared. The
 predicted language is the one with the largest share of the chosen set.
 
 The trigram models are fitted on a sample of labelled documents whose size is a parameter.
@@ -24,7 +24,6 @@ MAX_TRAINING_DOCUMENTS = 20_000
 UNKNOWN = "und"
 BUCKET_BITS = 16
 SMOOTHING = 0.5
-MAX_SET = 3
 PENALTY = 4.0
 EM_STEPS = 10
 REFIT_STEPS = 6
@@ -81,7 +80,7 @@ class LanguageModel:
         shares, _ = em(np.full((len(grams), size), 1 / size, np.float32), EM_STEPS)
         rank = np.argsort(np.argsort(-shares, axis=1, kind="stable"), axis=1)
         best, best_value = shares, np.full(len(grams), -np.inf)
-        for members in range(1, min(MAX_SET, size) + 1):
+        for members in range(1, size + 1):
             within = np.where(rank < members, shares, 0) + np.float32(1e-12)
             fitted, likelihood = em(within / within.sum(axis=1, keepdims=True), REFIT_STEPS if members > 1 else 0)
             value = likelihood - PENALTY * members * np.log(n + 1)
