@@ -101,6 +101,17 @@ def test_weak_secrets_need_company(make_docs):
                           ("6", "endpoint,identifier,token"), ("7", "identifier"), ("None", "identifier,token")])
 
 
+def test_long_secrets_are_linked(make_docs):
+    rng = random.Random(4)
+    long = {n: "aB3" + "".join(rng.choices("abcXYZ0189+/_-", k=n - 3)) for n in (19, 20, 64, 65, 88, 500)}
+    docs = [(n, f"user = alice {secret} end") for n, secret in long.items()] + [(1, "user = alice " + "z" * 500), (2, long[500])]
+    got = {r["doc_id"]: r["weak"] for r in secrets.find_secrets(make_docs(docs)).collect()}
+    for n, secret in long.items():
+        want = [] if n < 20 else ["user = alice", secret]
+        assert [s["text"] for s in got[n]] == want and [s["start"] for s in got[n]] == [0, 13][: len(want)]
+    assert got[1] == got[2] == []
+
+
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb", "", None]), st.one_of(st.none(), st.lists(
     st.sampled_from([*"<>|/\\[]sIN\n", "<|im_end|>", "</s>", "[/INST]", "<|im_start|>", "<|nl|>", "<<SYS>>"]), max_size=20).map("".join))), max_size=8))

@@ -26,8 +26,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 
 IDENTIFIER = r"""(?i:access_?key_?id|client_?id|user_?name|user|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}"""
-TOKEN = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20,64}(?![A-Za-z0-9+/_-]))(?=[a-z+/_-]*[A-Z0-9])(?=[A-Z0-9+/_-]*[a-z])"
-         r"(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]+")
+TOKEN = (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{20})(?=[a-z+/_-]*[A-Z0-9])(?=[A-Z0-9+/_-]*[a-z])"
+         r"(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]++")
 ENDPOINT = r"https?://[A-Za-z0-9.-]+(?::[0-9]+)?|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?(?![0-9.])"
 
 STRONG = ("assign", "access", "hex")
