@@ -116,7 +116,7 @@ def test_pipeline(spark, sf_dir, documents):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
     gone = {i for i, _ in rows[0]} - {i for i, _ in rows[1]}
     assert all(labels.get(i) != 0 for i in gone)
-    assert [i for i, _ in rows[2]] == [i for i, _, _, keep in brute_components(rows[1]) if keep]
+    assert [i for i, _ in rows[2]] == [i for i, _, _, keep in brute_components(rows[1], corpus_pipeline.NEAR_PERCENT) if keep]
     clean = {r[0] for r in brute_contamination(rows[2], bench) if not r[4]}
     assert {i for i, _ in rows[3]} == clean
     assert set(rows[4]) <= set(rows[3]) and rows[5] == rows[4]

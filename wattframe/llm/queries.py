@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm import chat, decontaminate, langid, licenses, mixing, search, secrets
+from wattframe.llm import chat, decontaminate, langid, licenses, mixing, pieces, runs, search, secrets, spelling
 from wattframe.llm.minhash import near_duplicates
 from wattframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401 - the first two are read by the entry
 from wattframe.llm.sharding import histogram_shards
 from wattframe.llm.toxicity import score_documents, train, usable_for_training
-from wattframe.llm.words import let
+from wattframe.llm.words import BLANKS, let
 
 
 @query("op1_ball_tree_top_k", search.ORACLE)
@@ -101,3 +101,54 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum_plan(table(spark, sf_dir, "documents"), columns=[F.col("doc_id")])
     return plan.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_spelling_variants", spelling.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_piece_encoding")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.read_model(vocabulary("piece_bpe_32k.model"))
+    encoded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
+    decoded = pieces.decode_ids(encoded, model)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def vocabulary(name: str) -> str:
+    """The driver's file of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): a tenth of the documents, by a hash of the id, repeats a stretch of words up to its end."""
+    def planted(words: Column) -> Column:
+        n, g = F.size(words), F.floor(h / 10)
+        a = F.pmod(g, n).cast("int")
+        p = (F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1).cast("int")
+        repeated = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + F.pmod(i - a, p))))
+        return F.when(n > 0, F.array_join(repeated, " ")).otherwise(F.col("text"))
+
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split("text", BLANKS), lambda w: w != "")
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, let(words, planted)).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_word_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    # runs come by start, then period, so the first of equal exponents stays
+    best = F.reduce("runs", F.get("runs", F.lit(0)), lambda best, r: F.when(
+        r["length"] * best["period"] > best["length"] * r["period"], r).otherwise(best))
+    digests = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"),
+                           F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+                           F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return digests.select("doc_id", "n_runs", "best.start", "best.length", "best.period",
+                          F.expr("1000 * best.length DIV best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
