@@ -1,3 +1,7 @@
+import random
+from dataclasses import replace
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -5,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wattframe.operators import evaluation as E
 from wattframe.operators import levels as L
+from wattframe.operators.encoding import slot_table, stored_domains
 from wattframe.operators.splitting import split_random, split_stratified
 from wattframe.operators.validation import class_input_check, energy_input_check, validate
 from wattframe.roles import METERED
@@ -81,10 +86,72 @@ def test_stratified_split_keeps_the_shares(readings):
 
 
 def test_nearest_level_ties_go_to_the_first_name(spark):
-    levels = {"Low": (0.0, 10.0), "High": (20.0, 30.0)}
-    df = spark.createDataFrame([(v,) for v in (5.0, 14.9, 15.0, 15.1, 99.0, -4.0, None)], "v double")
-    got = [r["x"] for r in df.select(L.nearest_level(F.col("v"), levels).alias("x")).collect()]
-    assert got == ["Low", "Low", "High", "High", "High", "Low", None]
+    levels = spark.createDataFrame([("Low", 0.0, 10.0), ("High", 20.0, 30.0), ("None", None, None)], "level string, low double, high double")
+    df = spark.createDataFrame([(v,) for v in (5.0, 14.9, 15.0, 15.1, 99.0, -4.0, None, float("nan"))], "v double").coalesce(1)
+    for few in (True, False):
+        of = (lambda v, x: L.with_nearest_level(df, v, levels, x)) if few else partial(L.nearest_level_table(levels).of, df)
+        assert [r["x"] for r in of(F.col("v"), "x").collect()] == ["Low", "Low", "High", "High", "High", "Low", None, None]
+    assert L.with_nearest_level(df, F.col("v"), levels.limit(0), "x").where("x IS NOT NULL").isEmpty()
+    assert L.nearest_level_table(levels.limit(0)).of(df, F.col("v"), "x").where("x IS NOT NULL").isEmpty()
+
+
+def brute_nearest(value, levels):
+    return min((max(low - value, value - high, 0.0), name) for name, low, high in levels)[1]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_nearest_of_many_overlapping_levels(spark, monkeypatch, small):
+    monkeypatch.setattr(L, "BUCKET", 5)
+    rng = random.Random(8)
+    levels = []
+    for i in range(300):
+        low = rng.randrange(0, 400) / 2
+        levels.append((f"l{rng.randrange(10**6)}-{i}", low, low + rng.choice([0, 0, 0.5, 1, 3, 60 if i % 40 == 0 else 0])))
+    values = [rng.randrange(-40, 1000) / 4 for _ in range(800)] + [levels[0][1]] * 200
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "level long, value double")
+    table = replace(L.nearest_level_table(spark.createDataFrame(levels, "level string, low double, high double")), small=small)
+    got = {r["level"]: r["nearest"] for r in table.of(df, F.col("value"), "nearest").collect()}
+    assert got == {i: brute_nearest(v, levels) for i, v in enumerate(values)}
+
+
+def test_a_hundred_thousand_levels(spark):
+    """Points two apart, each a level of its own; values between meet the nearer one."""
+    levels = spark.range(100_000).select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("level"),
+                                         (2.0 * F.col("id")).alias("low"), (2.0 * F.col("id")).alias("high"))
+    values = spark.range(50_000).select("id", (4.0 * F.col("id") + F.when(F.col("id") % 2 == 0, 0.9).otherwise(1.1)).alias("v"))
+    wanted = 2 * F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(1)
+    found = L.nearest_level_table(levels).of(values, F.col("v"), "level")
+    assert found.where(F.substring("level", 2, 6).cast("long") == wanted).count() == 50_000
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_domains_of_any_size(spark, small):
+    domains = spark.range(50_000).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("value")) for c in DOMAINS])))
+    known = replace(stored_domains(domains, list(DOMAINS)), small=small)
+    numbers = {c: F.lit(v) for c, v in RECORD.items() if c not in DOMAINS}
+    rows = spark.range(3000).select("id", *[v.alias(c) for c, v in numbers.items()], *[
+        F.concat(F.lit("v"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * (40 if c == "building_type" else 16)).cast("string")).alias(c)
+        for c in DOMAINS])
+    errors = validate(rows, class_input_check(known)).select("id", "error").collect()
+    assert len(errors) == 3000
+    for r in errors:
+        if r["id"] % 3 == 0 or r["id"] * 40 < 50_000:
+            assert r["error"] is None
+        else:
+            assert r["error"].startswith("'building_type' must be one of: v0, v1, v10, ") and r["error"].endswith(" and 49000 more.")
+
+
+def test_a_million_categories_in_slots(spark):
+    many = spark.range(1_000_000).select(F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("c"))
+    table = slot_table(many, "c")
+    assert table.size == 1_000_000
+    rows = spark.createDataFrame([("c000000",), ("c123456",), ("c999999",), ("unknown",), (None,), ("c123456",)], "c string")
+    assert not table.small
+    size = 1_000_000
+    got = sorted((r["c"] or "", r["c_slots"].size, list(r["c_slots"].indices)) for r in table.encode(rows).collect())
+    assert got == [("", size, []), ("c000000", size, [0]), ("c123456", size, [123456]), ("c123456", size, [123456]),
+                   ("c999999", size, [999999]), ("unknown", size, [])]
 
 
 RECORD = {
@@ -110,8 +177,10 @@ BROKEN = [
 def test_first_broken_rule_is_named(spark):
     rows = [tuple({**RECORD, **change}.values()) for change, _, _ in BROKEN]
     df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in RECORD)).coalesce(1)
-    assert [r["error"] for r in validate(df, class_input_check(DOMAINS)).collect()] == [c for _, c, _ in BROKEN]
-    assert [r["error"] for r in validate(df, energy_input_check(DOMAINS)).collect()] == [e for _, _, e in BROKEN]
+    pairs = [(c, v) for c, values in DOMAINS.items() for v in values]
+    known = stored_domains(spark.createDataFrame(pairs, "column string, value string"), list(DOMAINS))
+    assert [r["error"] for r in validate(df, class_input_check(known)).collect()] == [c for _, c, _ in BROKEN]
+    assert [r["error"] for r in validate(df, energy_input_check(known)).collect()] == [e for _, _, e in BROKEN]
 
 
 def test_missing_floor_area_is_filled_by_type(spark):

@@ -5,15 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.errors import ArgumentError
+from wattframe.operators.lookups import is_small, look_up, numbered
 from wattframe.roles import METERED, Roles
+from wattframe.session import materialize
 
-MAX_DOMAIN = 10_000
+#: A message names this many categories of a column; of more it names the first and says how many there are.
+LISTED = 1000
 
 
 def domain_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -22,15 +23,42 @@ def domain_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(pairs)).where(F.col("value").isNotNull()).distinct()
 
 
-def category_domains(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted categories per column. They come to the driver, so their number is checked first."""
-    found = domain_rows(df, columns).limit(MAX_DOMAIN + 1).collect()
-    if len(found) > MAX_DOMAIN:
-        raise ArgumentError(f"more than {MAX_DOMAIN} categories in {', '.join(columns)}")
-    domains: dict[str, list[str]] = {c: [] for c in columns}
-    for row in found:
-        domains[row["column"]].append(row["value"])
-    return {c: sorted(values) for c, values in domains.items()}
+@dataclass(frozen=True)
+class Domains:
+    """The known categories of some columns as a stored table (column, value) of any size."""
+
+    rows: DataFrame
+    #: Per column its categories as a message lists them, in order.
+    listed: Mapping[str, str]
+    counts: Mapping[str, int]
+    small: bool
+
+    def known(self, column: str, value: str, flag: str) -> DataFrame:
+        """The categories of a column as `value`, each with a true `flag`."""
+        return self.rows.where(F.col("column") == column).select(F.col("value").alias(value), F.lit(True).alias(flag))
+
+
+def _listed(values: DataFrame, count: int) -> str:
+    first = [row["value"] for row in values.orderBy("value").limit(LISTED).collect()]
+    return ", ".join(first) + (f" and {count - LISTED} more" if count > LISTED else "")
+
+
+def stored_domains(rows: DataFrame, columns: Sequence[str]) -> Domains:
+    """Domains from distinct (column, value) rows. What reaches the driver is the text of messages."""
+    rows = materialize(rows.select("column", F.col("value").cast("string").alias("value")), "domains")
+    counts = {row["column"]: row["n"] for row in rows.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    listed = {c: _listed(rows.where(F.col("column") == c), counts.get(c, 0)) for c in columns}
+    return Domains(rows, listed, {c: counts.get(c, 0) for c in columns}, is_small(rows))
+
+
+def category_domains(df: DataFrame, columns: Sequence[str]) -> Domains:
+    """The categories that occur, from one pass."""
+    return stored_domains(domain_rows(df, columns), columns)
+
+
+def class_labels(df: DataFrame, label: str) -> list[str]:
+    """The labels that occur, sorted. A classifier holds all of them itself, so they are few enough to be collected."""
+    return [row[label] for row in df.select(label).where(F.col(label).isNotNull()).distinct().orderBy(label).collect()]
 
 
 def ordinal_code(label: Column, order: Sequence[str]) -> Column:
@@ -57,10 +85,40 @@ def feature_stages(numeric: Sequence[str], categorical: Sequence[str], roles: Ro
     return [*one_hot_stages(categorical), assembler]
 
 
+@dataclass(frozen=True)
+class SlotTable:
+    """Categories of a column and their slots, as a stored table (value, slot)."""
+
+    column: str
+    rows: DataFrame
+    size: int
+    small: bool
+
+    def encode(self, df: DataFrame) -> DataFrame:
+        """Adds `<column>_slots`, a sparse 0/1 vector; all zeros for null and for a category not in the table."""
+        value, slot, index = f"_value_{self.column}", f"_slot_{self.column}", f"{self.column}_index"
+        table = self.rows.select(F.col("value").alias(value), F.col("slot").alias(slot))
+        salt = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+        found = look_up(df, table, F.col(f"`{self.column}`"), value, salt, self.small)
+        # the number of slots travels as metadata, so that fitting the encoder reads no rows
+        attribute = {"ml_attr": {"type": "nominal", "num_vals": self.size + 1, "name": index}}
+        place = F.coalesce(F.col(slot), F.lit(self.size)).cast("double").alias(index, metadata=attribute)
+        indexed = found.select(*[F.col(f"`{c}`") for c in df.columns], place)
+        encoder = OneHotEncoder(inputCols=[index], outputCols=[f"{self.column}_slots"], dropLast=True)
+        return encoder.fit(indexed).transform(indexed).drop(index)
+
+
+def slot_table(df: DataFrame, column: str) -> SlotTable:
+    """Slots 0, 1, 2 .. of the sorted categories; any number of them, none is held by the driver."""
+    rows = numbered(df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()), "value", "slot")
+    return SlotTable(column, rows, rows.count(), is_small(rows))
+
+
 def one_hot(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Adds `<column>_slots`, one 0/1 vector per column."""
-    fitted = Pipeline(stages=one_hot_stages(columns)).fit(df)
-    return fitted.transform(df).drop(*[f"{c}_index" for c in columns])
+    for c in columns:
+        df = slot_table(df, c).encode(df)
+    return df
 
 
 @dataclass(frozen=True)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattframe.errors import ArgumentError
 from wattframe.functions.numbers import half_up
-from wattframe.operators.encoding import MAX_DOMAIN
+from wattframe.operators.lookups import is_small, look_up, numbered
 from wattframe.operators.order_stats import quantiles
 from wattframe.roles import METERED, Roles
+from wattframe.session import materialize
 
-Intervals = Mapping[str, Mapping[str, tuple[float, float]]]
+#: Ends of intervals that one value is compared with.
+BUCKET = 64
 
 
 def level_intervals(df: DataFrame, roles: Roles = METERED) -> DataFrame:
@@ -28,26 +31,102 @@ def level_intervals(df: DataFrame, roles: Roles = METERED) -> DataFrame:
     )
 
 
-def collect_intervals(intervals: DataFrame) -> dict[str, dict[str, tuple[float, float]]]:
-    """The intervals as a small lookup; their number is checked first."""
-    rows = intervals.limit(MAX_DOMAIN + 1).collect()
-    if len(rows) > MAX_DOMAIN:
-        raise ArgumentError(f"more than {MAX_DOMAIN} levels")
-    found: dict[str, dict[str, tuple[float, float]]] = {}
-    for row in rows:
-        found.setdefault(row["attribute"], {})[row["level"]] = (row["low"], row["high"])
-    return found
-
-
-def nearest_level(value: Column, levels: Mapping[str, tuple[float, float]]) -> Column:
-    """Name of the level whose interval is nearest (distance 0 inside); the first by name on ties."""
-    known = F.array(*[
-        F.struct(F.lit(name).alias("level"), F.lit(low).alias("low"), F.lit(high).alias("high"))
-        for name, (low, high) in sorted(levels.items())
-    ])
-    ranked = F.transform(known, lambda x: F.struct(
-        F.greatest(x["low"] - value, value - x["high"], F.lit(0.0)).alias("distance"), x["level"].alias("level")))
-    return F.when(value.isNotNull(), F.array_min(ranked)["level"])
+@dataclass(frozen=True)
+class NearestLevel:
+    """Which level is nearest to a value, as a stored table of the stretches between interval ends.
+
+    `rows` has (bucket, point, next_point, at, between, left, right): the level at an end, the level that covers the
+    stretch up to the next end, or else the levels that end on its left and begin on its right. Stretches are dealt
+    into buckets of about `BUCKET` ends; where ends crowd, buckets are narrow. `splits` are the borders.
+    """
+
+    rows: DataFrame
+    splits: list[float]
+    small: bool
+
+    def of(self, df: DataFrame, value: Column, output: str) -> DataFrame:
+        """Adds the name of the nearest level (distance 0 inside its interval), the first by name on ties.
+
+        Null and NaN have none. An infinite value belongs to the outermost interval on its side.
+        """
+        names = [F.col(f"`{c}`") for c in df.columns]
+        bucketed = df.withColumns({"_value": value.cast("double"), "_bucket": F.lit(0.0)})
+        if len(self.splits) > 2:
+            bucketizer = Bucketizer(splits=self.splits, inputCol="_value", outputCol="_bucket", handleInvalid="keep")
+            bucketed = bucketizer.transform(bucketed.drop("_bucket"))
+        key = F.when(~F.isnan("_value"), F.col("_bucket").cast("int"))
+        found = look_up(bucketed, self.rows, key, "bucket", F.xxhash64("_value", *names), self.small)
+        v = F.col("_value")
+        # ends of a bucket are in order, so the last one not above the value is the largest such
+        at = F.array_max(F.filter("ends", lambda e: e["point"] <= v))
+        gap = F.array_min(F.array(
+            F.when(at["left"].isNotNull(), F.struct((v - at["point"]).alias("d"), at["left"].alias("level"))),
+            F.when(at["right"].isNotNull(), F.struct((at["next_point"] - v).alias("d"), at["right"].alias("level")))))["level"]
+        level = F.when((at["point"] == v) & at["at"].isNotNull(), at["at"]).otherwise(F.coalesce(at["between"], gap))
+        return found.withColumn("_level", F.when(v.isNotNull(), level)).select(*names, F.col("_level").alias(output))
+
+
+def nearest_level_table(intervals: DataFrame) -> NearestLevel:
+    """The table for (level, low, high), any number of levels; those without an interval are never nearest.
+
+    The ends are numbered in order; a level covers a range of places on the line of ends and gaps. Each range is cut
+    into at most two dyadic pieces per size, the first name per piece is kept, and a place looks up the pieces that
+    hold it: n log n rows however the intervals overlap, where joining levels to places could give n squared.
+    """
+    levels = materialize(intervals.where(F.col("low").isNotNull() & F.col("high").isNotNull()).select(
+        "level", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")), "levels")
+    ends = levels.select(F.explode(F.array("low", "high")).alias("point"))
+    number = numbered(ends, "point")
+    count = number.count()
+    sizes = range(max(2 * count, 1).bit_length() + 1)
+    # the end of number i is place 2i, the gap behind it 2i + 1
+    low, high = (number.select(F.col("point").alias(c), (2 * F.col("number")).alias(f"{c}_place")) for c in ("low", "high"))
+    ranges = levels.join(low, "low").join(high, "high")
+
+    cuts = []
+    for k in sizes:
+        first = F.shiftright(F.col("low_place") + ((1 << k) - 1), k)
+        behind = F.shiftright(F.col("high_place") + 1, k)
+        cuts.append(F.when((first % 2 == 1) & (first < behind), F.struct(F.lit(k).alias("size"), first.alias("piece"))))
+        cuts.append(F.when((behind % 2 == 1) & (first < behind), F.struct(F.lit(k).alias("size"), (behind - 1).alias("piece"))))
+    covers = ranges.select("level", F.inline(F.array_compact(F.array(*cuts)))).groupBy("size", "piece").agg(F.min("level").alias("level"))
+    places = number.select(F.explode(F.array(2 * F.col("number"), 2 * F.col("number") + 1)).alias("place"))
+    holding = places.select("place", F.inline(F.array(*[
+        F.struct(F.lit(k).alias("size"), F.shiftright("place", k).alias("piece")) for k in sizes])))
+    covered = holding.join(covers, ["size", "piece"]).groupBy("place").agg(F.min("level").alias("level"))
+    at = covered.where(F.col("place") % 2 == 0).select((F.col("place") / 2).cast("bigint").alias("number"), F.col("level").alias("at"))
+    between = covered.where(F.col("place") % 2 == 1).select(
+        F.shiftright("place", 1).alias("number"), F.col("level").alias("between"))
+    ending = levels.groupBy(F.col("high").alias("point")).agg(F.min("level").alias("left"))
+    beginning = levels.groupBy(F.col("low").alias("point")).agg(F.min("level").alias("right"))
+    begun = number.join(beginning, "point", "left")
+    # one more stretch comes before the first end
+    before = begun.sparkSession.range(1).select(F.lit(float("-inf")).alias("point"), F.lit(-1).cast("bigint").alias("number"))
+    following = begun.select((F.col("number") - 1).alias("number"), F.col("point").alias("next_point"), "right")
+    stretches = (
+        number.select("point", "number").unionByName(before).join(following, "number", "left")
+        .join(ending, "point", "left").join(at, "number", "left").join(between, "number", "left"))
+    bucket = F.floor((F.col("number") + 1) / BUCKET).cast("int")
+    end = F.struct("point", "next_point", "at", "between", "left", "right")
+    rows = stretches.groupBy(bucket.alias("bucket")).agg(F.array_sort(F.collect_list(end)).alias("ends"))
+    rows = materialize(rows, "nearest")
+    # one border per bucket of ends
+    borders = sorted(r["b"] for r in rows.where("bucket > 0").select(F.col("ends")[0]["point"].alias("b")).collect())
+    return NearestLevel(rows, [float("-inf"), *borders, float("inf")], is_small(rows))
+
+
+def with_nearest_level(df: DataFrame, value: Column, intervals: DataFrame, output: str) -> DataFrame:
+    """Adds the nearest level of (level, low, high). Up to `BUCKET` levels are compared one by one, more are looked
+    up in their table; the result is the same."""
+    intervals = intervals.where(F.col("low").isNotNull() & F.col("high").isNotNull()).select("level", "low", "high")
+    few = sorted(intervals.limit(BUCKET + 1).collect())
+    if len(few) > BUCKET:
+        return nearest_level_table(intervals).of(df, value, output)
+    value = F.when(~F.isnan(value), value).cast("double")
+    ranked = [F.struct(F.greatest(F.lit(float(low)) - value, value - F.lit(float(high)), F.lit(0.0)).alias("distance"),
+                       F.lit(name).alias("level")) for name, low, high in few]
+    nearest = F.array_min(F.array(*ranked))["level"] if ranked else F.lit(None).cast("string")
+    return df.withColumn(output, F.when(value.isNotNull(), nearest))
 
 
 def feature_ranges(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wattframe.functions.numbers import half_up, ratio_or_zero
 from wattframe.operators.cleaning import COPIES, Cleaned, count_copies
-from wattframe.operators.encoding import Scaler, domain_rows, fit_scaler
+from wattframe.operators.encoding import Scaler, category_domains, domain_rows, fit_scaler
 from wattframe.roles import METERED, Roles
 
 
@@ -60,11 +60,10 @@ def timestamp_range(raw: DataFrame, cleaned: DataFrame, roles: Roles = METERED)
 
 def encoding_report(df: DataFrame, roles: Roles = METERED) -> DataFrame:
     """(column, method, categories, new_columns): one-hot widths of the features, codes of the class label."""
-    features = domain_rows(df, roles.class_categorical).groupBy("column").agg(
-        F.lit("One-hot").alias("method"),
-        F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("categories"),
-        F.count(F.lit(1)).alias("new_columns"),
-    )
+    domains = category_domains(df, roles.class_categorical)
+    features = df.sparkSession.createDataFrame(
+        [(c, "One-hot", domains.listed[c], n) for c, n in domains.counts.items() if n],
+        "column string, method string, categories string, new_columns bigint")
     order = F.array(*[F.lit(c) for c in roles.category_order])
     code = F.array_position(order, F.col("value")) - 1
     labels = domain_rows(df, [roles.category]).where(code >= 0).agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattframe.operators import evaluation as E
 from wattframe.operators import trees as T
-from wattframe.operators.encoding import category_domains
+from wattframe.operators.encoding import Domains, category_domains, class_labels
 from wattframe.operators.levels import feature_ranges, level_intervals
 from wattframe.operators.splitting import split_sizes, split_stratified
 from wattframe.roles import METERED, Roles
@@ -20,7 +20,7 @@ from wattframe.session import materialize
 @dataclass(frozen=True)
 class TreeReport:
     model: PipelineModel
-    domains: dict[str, list[str]]
+    domains: Domains
     size: dict[str, int]
     reports: dict[str, DataFrame]
 
@@ -35,7 +35,7 @@ def classification_report(cleaned: DataFrame, roles: Roles = METERED, model: Pip
     # both sides are scored once; all metrics read the few columns kept
     scored = materialize(T.predict_category(sides, model).select("side", roles.category, "predicted"), "scored")
     test = scored.where(F.col("side") == "test")
-    present = category_domains(cleaned, [roles.category])[roles.category]
+    present = class_labels(cleaned, roles.category)
     classes = [c for c in roles.category_order if c in present]
     per_class = E.per_class_scores(test, roles.category, "predicted", classes)
     reports = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wattframe.operators import evaluation as E
 from wattframe.operators import trees as T
-from wattframe.operators.encoding import category_domains
+from wattframe.operators.encoding import Domains, category_domains
 from wattframe.operators.levels import feature_ranges, floor_area_defaults
 from wattframe.operators.splitting import split_random, split_sizes
 from wattframe.roles import METERED, Roles
@@ -20,7 +20,7 @@ from wattframe.session import materialize
 @dataclass(frozen=True)
 class ForestReport:
     model: PipelineModel
-    domains: dict[str, list[str]]
+    domains: Domains
     reports: dict[str, DataFrame]
 
 

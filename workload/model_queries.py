@@ -14,7 +14,7 @@ from wattframe.operators.validation import class_input_check, energy_input_check
 from wattframe.plans.scoring import classify_records, predict_records
 from wattframe.session import materialize, scratch_dir
 from wattframe.sources.model_store import fit_or_load
-from workload.readings import READINGS, duckdb_cte, readings
+from workload.readings import READINGS, duckdb_cte, readings, table
 from workload.registry import half_up_sql as hu
 from workload.registry import query
 
@@ -122,10 +122,25 @@ near AS (SELECT reading_id, value, level, row_number() OVER (PARTITION BY readin
 SELECT reading_id, value, level FROM near WHERE i = 1""")
 def nearest_level(spark, sf_dir):
     rows = readings(spark, sf_dir)
-    intervals = L.collect_intervals(L.level_intervals(rows, READINGS))
-    value = F.col("humidity_pct") / 3 + 0.05
-    return rows.select("reading_id", value.alias("value"),
-                       L.nearest_level(value, intervals["temperature_level"]).alias("level"))
+    intervals = L.level_intervals(rows, READINGS).where("attribute = 'temperature_level'")
+    probes = rows.select("reading_id", (F.col("humidity_pct") / 3 + 0.05).alias("value"))
+    return L.with_nearest_level(probes, F.col("value"), intervals, "level")
+
+
+@query("nearest_order", R + """
+, ends AS (SELECT l_orderkey, min(l_extendedprice) / 500 AS low, max(l_extendedprice) / 500 AS high FROM lineitem GROUP BY l_orderkey),
+named AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 12, '0') AS level, low, high FROM ends WHERE high - low <= 1),
+values AS (SELECT DISTINCT floor(energy_consumption_kwh * 10) / 10 AS value FROM readings),
+near AS (SELECT value, level, row_number() OVER (PARTITION BY value
+ ORDER BY greatest(low - value, value - high, 0.0), level) AS i FROM values, named)
+SELECT value, level FROM near WHERE i = 1""")
+def nearest_order(spark, sf_dir):
+    """Levels in the thousands: the narrow price ranges of orders, and usage values inside and between them."""
+    orders = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        (F.min("l_extendedprice") / 500).alias("low"), (F.max("l_extendedprice") / 500).alias("high"))
+    intervals = orders.where("high - low <= 1").select(F.lpad(F.col("l_orderkey").cast("string"), 12, "0").alias("level"), "low", "high")
+    values = readings(spark, sf_dir).select((F.floor(F.col("energy_consumption_kwh") * 10) / 10).alias("value")).distinct()
+    return L.with_nearest_level(values, F.col("value"), intervals, "level")
 
 
 def _ranges(features) -> str:
