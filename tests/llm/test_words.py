@@ -154,6 +154,8 @@ def test_pieces_of_awkward_rows(model, library, awkward, clashing):
         assert len(rows) == 10
         for r in rows:
             assert r["ids"] == library.encode(r["text"] or "") and r["decoded"] == library.decode(r["ids"])
+        both = pieces.encode_texts(docs, model, decoded="decoded").select("ids", "decoded").collect()
+        assert plain(both) == plain([(r["ids"], r["decoded"]) for r in rows])
     assert set(clashing.columns) - {"IDS"} < set(pieces.encode_texts(clashing, model).columns)
     assert pieces.encode_texts(awkward.limit(0), model).collect() == []
     nulls = pieces.decode_ids(awkward.select(F.lit(None).cast("array<int>").alias("ids")), model)

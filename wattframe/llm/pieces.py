@@ -2,7 +2,7 @@
 
 Merge-type BPE joins the best pair of neighbours until none is left. The same tokens are found without merging a
 whole text: a sequence of tokens is the encoding exactly if each two neighbours, put together, are encoded as these
-two. So the longest token at the current place is taken (all matches come from one Aho-Corasick pass), checked
+two. So the longest token at the current place is taken (the longest matches, one behind the other, come from an Aho-Corasick pass), checked
 against the token before by merging the two anew, and replaced by the next shorter one if they do not go together.
 Where no token goes on, the last one is taken back; a bitfield marks ends from which no encoding was found, so each
 place fails once. A text is cut between characters that stand side by side in no token, since no merge crosses there.
@@ -137,7 +137,8 @@ class Encoder:
         # the longest token that is a shorter beginning of a token; single characters have none
         self.shorter = [next((number[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in number), -1) for t in self.texts]
         self.ids = [(model.ids[t],) if t in model.ids else self._bytes(t) for t in self.texts]
-        self.pairs: dict[int, bool] = {}
+        self.pairs: list[dict[int, bool]] = [{} for _ in self.texts]
+        self.remembered_pairs = 0
         self.words = _Words(self.encode_word)
         self.runs = re.compile(f"[{re.escape(''.join(sorted(known)))}]+|.", re.DOTALL)
         self.cut = self._cuts(known)
@@ -158,45 +159,69 @@ class Encoder:
         """Whether two tokens stay apart, and as they are, when their texts are merged together."""
         a, b = self.texts[left], self.texts[right]
         fits = (a[-1] + b[0]) not in self.joined or merged(a + b, self.model.scores) == [a, b]
-        if len(self.pairs) >= REMEMBERED_PAIRS:
-            self.pairs.clear()
-        self.pairs[left << 32 | right] = fits
+        if self.remembered_pairs >= REMEMBERED_PAIRS:
+            self.remembered_pairs = 0
+            for row in self.pairs:
+                row.clear()
+        self.remembered_pairs += 1
+        self.pairs[left][right] = fits
         return fits
 
-    def tokens(self, word: str) -> list[int]:
-        """The encoding of a text of known characters, by backtracking."""
-        longest = {end - before: token for end, (token, before) in self.automaton.iter(word)}  # longer ones end later
+    def tokens(self, word: str) -> list[int] | None:
+        """The encoding of a text of known characters, by backtracking; None if a character is in no piece."""
         lengths, shorter, pairs, out = self.lengths, self.shorter, self.pairs, []
-        size, at, last, dead_ends, token = len(word), 0, -1, 0, longest[0]
+        longest = {end - before: token for end, (token, before) in self.automaton.iter_long(word)}
+        size = len(word)
+        if sum([lengths[t] for t in longest.values()]) != size:
+            return None
+        at, dead_ends, token, row = 0, 0, longest[0], None
         while at < size:
             while token >= 0:
                 end = at + lengths[token]
-                if not dead_ends >> end & 1:
-                    fits = last < 0 or pairs.get(last << 32 | token)
-                    if fits or fits is None and self.fit(last, token):
+                if not dead_ends or not dead_ends >> end & 1:
+                    if row is None:
+                        break
+                    fits = row.get(token)
+                    if fits or fits is None and self.fit(out[-1], token):
                         break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at, last = end, token
-                token = longest.get(at, -1)
+                at, row = end, pairs[token]
+                if at < size:
+                    token = longest.get(at)
+                    if token is None:
+                        token = self._longest_from(word, at, longest)
             else:
                 dead_ends |= 1 << at
                 token = out.pop()
                 at -= lengths[token]
-                last = out[-1] if out else -1
+                row = pairs[out[-1]] if out else None
         return out
 
+    def _longest_from(self, word: str, at: int, longest: dict[int, int]) -> int:
+        """The longest token at a place, and at the places that follow one another from it, until one is known."""
+        for end, (token, before) in self.automaton.iter_long(word, at):
+            if end - before in longest:
+                break
+            longest[end - before] = token
+        return longest[at]
+
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of a part of a text; characters of no piece are written as bytes."""
-        ids: list[int] = []
+        ids = self.ids
+        if len(word) <= REMEMBERED_LETTERS:
+            tokens = self.tokens(word)
+            if tokens is not None:
+                return tuple(chain.from_iterable([ids[t] for t in tokens]))
+        found: list[int] = []
         for run in self.runs.findall(word):
-            if run not in self.automaton and not self.automaton.exists(run[0]):
-                ids += self._bytes(run)
-            else:
-                for part in self._parts(run) if len(run) > REMEMBERED_LETTERS else (run,):
-                    ids += chain.from_iterable(map(self.ids.__getitem__, self.tokens(part)))
-        return tuple(ids)
+            if not self.automaton.exists(run[0]):
+                found += self._bytes(run)
+                continue
+            for part in self._parts(run):
+                found += chain.from_iterable([ids[t] for t in self.tokens(part)])
+        return tuple(found)
 
     def _parts(self, run: str) -> Iterator[str]:
         """A long run, cut where two characters stand side by side in no piece, so that bitfields stay short."""
@@ -264,37 +289,38 @@ def _tool(shared, kind):
     return tools[kind]
 
 
-def encode_texts(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids") -> DataFrame:
-    """The rows with `ids` (array of int), the encoding of the whole text.
+def encode_texts(docs: DataFrame, model: PieceModel, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """The rows with `ids` (array of int), the encoding of the whole text, and on request the text decoded from them.
 
-    A column of that name is replaced. Null and empty texts have no ids. Equal rows are encoded each; a text is one
+    Columns of these names are replaced. Null and empty texts have no ids. Equal rows are encoded each; a text is one
     value and must fit a task, its words are looked up one after the other. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def blocks():
-        encoder = _tool(shared, Encoder)
+        encoder, decoder = _tool(shared, Encoder), _tool(shared, Decoder)
+
+        def done(flat: list[np.ndarray]) -> list[pa.Array]:
+            offsets = np.cumsum([0, *map(len, flat)])
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+            return [lists, pa.array(map(decoder.decode, flat), pa.string())] if decoded else [lists]
 
         def encoded(texts: pa.Array) -> Iterator[list[pa.Array]]:
-            flat, offsets, letters = [], [0], 0
+            flat, letters = [], 0
             for value in texts:
                 line = value.as_py()
                 flat.append(np.fromiter(encoder.encode(line), np.int32))
-                offsets.append(offsets[-1] + len(flat[-1]))
                 letters += len(line or "")
                 if letters >= BLOCK_LETTERS:
-                    yield [_lists(flat, offsets)]
-                    flat, offsets, letters = [], [0], 0
+                    yield done(flat)
+                    flat, letters = [], 0
             if flat:
-                yield [_lists(flat, offsets)]
+                yield done(flat)
 
         return encoded
 
-    return add_columns(docs, F.col(text).cast("string"), {ids: ArrayType(IntegerType())}, blocks)
-
-
-def _lists(flat: list[np.ndarray], offsets: list[int]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
+    added = {ids: ArrayType(IntegerType())} | ({decoded: StringType()} if decoded else {})
+    return add_columns(docs, F.col(text).cast("string"), added, blocks)
 
 
 def decode_ids(rows: DataFrame, model: PieceModel, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -111,9 +111,9 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_piece_encoding")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = pieces.read_model(vocabulary("piece_bpe_32k.model"))
-    encoded = pieces.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), model).drop("text")
-    decoded = pieces.decode_ids(encoded, model)
-    return decoded.select(
+    docs = table(spark, sf_dir, "documents")
+    coded = pieces.encode_texts(docs.select("doc_id", "text"), model, decoded="decoded")
+    return coded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
