@@ -28,6 +28,46 @@ def test_best_of_several_starts(scaled):
     assert assigned.agg(F.sum("distance2")).first()[0] == pytest.approx(fit.cost, rel=1e-6)
 
 
+def lloyd(rows, centers, rounds=300):
+    """Plain iteration from given centers."""
+    for _ in range(rounds):
+        near = ((rows[:, None] - centers[None]) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array([rows[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(centers)])
+        shift = ((moved - centers) ** 2).sum()
+        centers = moved
+        if shift <= K.TOLERANCE:
+            break
+    return centers, ((rows[:, None] - centers[None]) ** 2).sum(axis=2).min(axis=1).sum()
+
+
+def test_all_starts_of_all_k_match_plain_iteration(scaled, matrix):
+    fits = K.fit_all_kmeans(scaled, Z, restarts=3)
+    rows = np.round(matrix * K.GRID) / K.GRID
+    first = scaled.select(*[F.round(F.col(c) * K.GRID).cast("bigint").alias(f"x{j}") for j, c in enumerate(Z)])
+    names = first.columns
+    seeds = first.orderBy(F.xxhash64(*names, F.lit(42)), *names).limit(K.SEED_ROWS).collect()
+    seeds = np.array([list(r) for r in seeds], float) / K.GRID
+    assert sorted(fits) == [2, 3, 4, 5]
+    for k, fit in fits.items():
+        plain = [lloyd(rows, K._first_centers(seeds, k, 42 + start)) for start in range(3)]
+        assert fit.costs == pytest.approx([cost for _, cost in plain], rel=1e-9)
+        assert np.allclose(fit.centers, min(plain, key=lambda p: p[1])[0])
+    assert fits[2].cost > fits[3].cost > fits[4].cost > fits[5].cost
+
+
+def test_fits_do_not_depend_on_partitions(scaled):
+    fits = [K.fit_all_kmeans(scaled.repartition(n, "z_temperature_c"), Z, (2, 5), restarts=1) for n in (1, 4, 8)]
+    assert fits[0] == fits[1] == fits[2]
+
+
+def test_fewer_points_than_clusters_and_no_rows(spark):
+    df = spark.createDataFrame([(1.0, 2.0)] * 5 + [(3.0, 2.0)] * 4 + [(None, 1.0)], "a double, b double")
+    fit = K.fit_kmeans(df, ["a", "b"], 5, restarts=2)
+    assert fit.cost == 0 and len(fit.centers) == 5 and sorted(set(map(tuple, fit.centers))) == [(1.0, 2.0), (3.0, 2.0)]
+    with pytest.raises(ArgumentError):
+        K.fit_kmeans(df.limit(0), ["a", "b"], 2)
+
+
 def test_profiles_are_numbered_by_energy(readings):
     found = cluster_profiles(readings, READINGS, k="3", restarts=2)
     rows = found.reports["profile"].orderBy("cluster").collect()

@@ -5,7 +5,10 @@ from pyspark.sql import types as T
 from wattframe.errors import ArgumentError
 from wattframe.session import materialize, scratch_dir
 from wattframe.sources.csv_files import METERED_SCHEMA, NULL_TOKENS, read_csv
-from wattframe.sources.store import fingerprint, ingest, load_table, signature, write_table
+from wattframe.operators.sketches import approximate_medians, approximate_stats, part_sketches
+from wattframe.sources.store import (
+    PartStatus, fingerprint, ingest, ingest_parts, load_parts, load_table, signature, write_table,
+)
 
 SCHEMA = T.StructType().add("name", "string").add("reading", "double").add("hour", "integer")
 
@@ -104,3 +107,51 @@ def test_csv_columns_by_name(spark, tmp_path):
     assert [tuple(r) for r in read_csv(spark, str(tmp_path / "breaks.csv"), kind, line_breaks=True).collect()] == [("x\ny", 3.0)]
     with pytest.raises(ArgumentError):
         read_csv(spark, str(tmp_path / "other.csv"), kind)
+
+
+def test_parts_that_changed_are_written(spark, tmp_path):
+    path = f"{tmp_path}/parts"
+    rows = [(i, f"{i % 3:02d}" if i % 4 else None, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, part string, x double")
+
+    def seen():
+        return sorted(map(tuple, load_parts(spark, path).select("id", "part", "x").collect()), key=repr)
+
+    assert ingest_parts(spark, lambda: df.limit(0), path, "part") == PartStatus(0, 0, 0, 0) and seen() == []
+    assert ingest_parts(spark, lambda: df, path, "part") == PartStatus(4, 0, 0, 40)
+    assert seen() == sorted(rows, key=repr)
+    assert ingest_parts(spark, lambda: df.repartition(3), path, "part") == PartStatus(0, 0, 4, 40)
+    changed = df.withColumn("x", F.when(F.col("id") == 0, -1.0).otherwise(F.col("x")))
+    assert ingest_parts(spark, lambda: changed, path, "part", ["id"]) == PartStatus(1, 0, 3, 40)
+    assert seen() == sorted([(i, p, -1.0 if i == 0 else x) for i, p, x in rows], key=repr)
+    assert ingest_parts(spark, lambda: df.where("part IS NOT NULL"), path, "part") == PartStatus(0, 1, 3, 30)
+    assert all(p is not None for _, p, _ in seen())
+    assert ingest_parts(spark, lambda: df.limit(0), path, "part") == PartStatus(0, 3, 0, 0) and seen() == []
+
+
+def test_an_import_that_died_leaves_the_old_table(spark, tmp_path):
+    path = f"{tmp_path}/parts"
+    df = spark.range(10).select("id", (F.col("id") % 2).alias("part"))
+    ingest_parts(spark, lambda: df, path, "part")
+    # files of a version whose manifest was never written
+    df.select(F.col("id") + 100, "part", F.lit("0").alias("_part")).write.partitionBy("_part").parquet(f"{path}/data/_version=2")
+    assert sorted(r["id"] for r in load_parts(spark, path).collect()) == list(range(10))
+    more = df.unionAll(spark.createDataFrame([(50, 1)], "id long, part long"))
+    assert ingest_parts(spark, lambda: more, path, "part") == PartStatus(1, 0, 1, 11)
+    assert sorted(r["id"] for r in load_parts(spark, path).collect()) == [*range(10), 50]
+
+
+def test_sketches_of_parts_are_merged(spark):
+    df = spark.range(20_000).select(
+        (F.col("id") % 5).alias("part"), F.when(F.col("id") % 10 > 0, (F.col("id") * 7919 % 20_011).cast("double")).alias("x"),
+        F.lit(float("nan")).alias("none"), (F.col("id") % 300).cast("string").alias("t"))
+    sketches = part_sketches(df, "part", ["x", "none"], ["t"])
+    assert sketches.count() == 15
+    stats = {r["column"]: r for r in approximate_stats(sketches).collect()}
+    assert stats["x"]["n"] == 18_000 and stats["none"]["n"] == 0 and stats["none"]["q50"] is None and stats["t"]["q50"] is None
+    for q, column in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75")):
+        rank = df.where(F.col("x") <= stats["x"][column]).count() / 18_000
+        assert abs(rank - q) < 0.02
+    assert abs(stats["x"]["distinct_values"] - 18_000) < 1500 and abs(stats["t"]["distinct_values"] - 300) < 20
+    assert approximate_stats(sketches.where("part = '3'")).where("column = 'x'").first()["n"] == df.where("part = 3 AND x IS NOT NULL").count()
+    assert set(approximate_medians(sketches)) == {"x"}

@@ -3,10 +3,11 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from wattframe.operators.encoding import stored_domains
 from wattframe.operators.validation import class_input_check
 from wattframe.roles import METERED
 from wattframe.session import scratch_dir
-from wattframe.streaming.rollup import hourly_rollup, write_rollup
+from wattframe.streaming.rollup import compact_rollup, hourly_rollup, read_rollup, upsert_rollup, write_rollup
 from wattframe.streaming.scoring import score_stream
 
 ROLES = replace(METERED, timestamp="ts", key=("reading_id",))
@@ -39,6 +40,27 @@ def test_rollup_bounds_late_and_repeated_readings(spark):
     assert run(spark, folder, out, checkpoint) == {"05:00": (3, 11.0), "06:00": (1, 4.0), "09:00": (1, 1.0)}
 
 
+def test_open_hours_are_shown_as_they_stand(spark):
+    folder, out, checkpoint, compact = (scratch_dir(spark, n) for n in ("arriving", "upserted", "ck", "compact"))
+
+    def advance(rows):
+        arrive(spark, folder, rows)
+        rolled = hourly_rollup(spark.readStream.schema(SCHEMA).parquet(folder), ROLES)
+        upsert_rollup(rolled, out, checkpoint).awaitTermination()
+        return {str(r["hour_start"])[11:16]: (r["records"], r["total_energy"]) for r in read_rollup(spark, out, rolled.schema).collect()}
+
+    assert advance([(1, "2024-01-01 05:10", 1.0), (1, "2024-01-01 05:10", 1.0), (3, "2024-01-01 06:10", 4.0)]) == {
+        "05:00": (1, 1.0), "06:00": (1, 4.0)}
+    state = {"05:00": (2, 9.0), "06:00": (1, 4.0), "09:00": (1, 1.0)}
+    assert advance([(4, "2024-01-01 05:40", 8.0), (3, "2024-01-01 06:10", 4.0), (5, "2024-01-01 09:00", 1.0)]) == state
+    # hours late: the hour is closed and stays
+    assert advance([(6, "2024-01-01 05:59", 100.0)]) == state
+    schema = hourly_rollup(spark.createDataFrame([], SCHEMA), ROLES).schema
+    compact_rollup(spark, out, compact, schema)
+    rows = read_rollup(spark, compact, schema).collect()
+    assert {str(r["hour_start"])[11:16]: (r["records"], r["total_energy"]) for r in rows} == state
+
+
 DOMAINS = {"building_type": ["Lab"], "temperature_level": ["Low"], "occupancy_level": ["High"]}
 FIELDS = [*METERED.class_numeric, *METERED.class_categorical]
 
@@ -58,9 +80,12 @@ def test_scoring_quarantines_and_survives_a_restart(spark, fail_first):
             raise RuntimeError("lost")
         return batch.withColumn("predicted", F.col("hour") * 2)
 
+    pairs = [(c, v) for c, values in DOMAINS.items() for v in values]
+    known = stored_domains(spark.createDataFrame(pairs, "column string, value string"), list(DOMAINS))
+
     def start():
         source = spark.readStream.schema(schema).parquet(folder)
-        score_stream(source, class_input_check(DOMAINS), score, good, bad,
+        score_stream(source, class_input_check(known), score, good, bad,
                      checkpoint).awaitTermination()
 
     if fail_first:

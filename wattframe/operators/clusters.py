@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans
+import numpy as np
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from wattframe.functions.labels import sentence_case
 from wattframe.functions.numbers import half_up
 from wattframe.operators.evaluation import sample_rows
 from wattframe.roles import METERED, Roles
-from wattframe.session import materialize
+from wattframe.session import dealt, materialize
 
 # Allowed numbers of clusters, limits, words and the text for an unremarkable cluster.
 ALLOWED_K = (2, 3, 4, 5)
@@ -40,6 +39,7 @@ def check_k(k: int | str) -> int:
     except (TypeError, ValueError):
         number = 0
     if number not in ALLOWED_K:
+        # Fixed value: the message.
         raise ArgumentError("K must be 2, 3, 4 or 5.")
     return number
 
@@ -51,31 +51,101 @@ class KMeansFit:
     costs: list[float]
 
 
-def fit_kmeans(scaled: DataFrame, columns: Sequence[str], k: int = 3, restarts: int = 10, seed: int = 42,
-               max_iterations: int = 300, parallel: int = 5) -> KMeansFit:
-    """Best of several starts by cost. A start ends when the centers together move by less than 0.01.
+#: Coordinates are counted in these units, so that sums are whole numbers and do not depend on the order of rows.
+GRID = 2**20
+#: Starts choose their first centers among at most this many rows, the first by a hash of the row.
+SEED_ROWS = 1000
+#: A start ends when its centers together move by less than this squared distance.
+TOLERANCE = 1e-4
+
+
+def _first_centers(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Each further center is drawn with a chance that grows with the squared distance to the centers so far."""
+    rng = np.random.default_rng(seed)
+    chosen = [rows[rng.integers(len(rows))]]
+    while len(chosen) < k:
+        nearest = ((rows[:, None, :] - np.array(chosen)[None]) ** 2).sum(axis=2).min(axis=1)
+        total = nearest.sum()
+        pick = np.searchsorted(np.cumsum(nearest), rng.random() * total, "right") if total > 0 else rng.integers(len(rows))
+        chosen.append(rows[min(int(pick), len(rows) - 1)])
+    return np.array(chosen, float)
+
+
+def _cell_sums(points: DataFrame, width: int, fits: Mapping[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per fit the number of rows and the coordinate sums of each of its centers, all fits in one aggregation.
 
-    All starts iterate over the same persisted vectors; a few run at a time, so that the short jobs of one
-    start fill the pauses of another.
+    Every row meets every fit once, as one further row that goes straight into the sums of its task; what is
+    shuffled is one row per fit, center and task.
     """
-    check_k(k)
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled).select("features")
-    vectors = vectors.persist()
-    session = scaled.sparkSession
+    most = max(len(c) for c in fits.values())
+    centers = [f"c{i}" for i in range(most)]
+    rows = [{"fit": fit} | dict(zip(centers, c.tolist(), strict=False)) for fit, c in fits.items()]
+    kind = f"array<struct<fit: int, {', '.join(f'{c}: array<double>' for c in centers)}>>"
+    # one text, as rounds are many and building the same from columns takes longer than counting
+    steps = {c: " + ".join(f"(x{j} / {float(GRID)}D - {c}[{j}]) * (x{j} / {float(GRID)}D - {c}[{j}])" for j in range(width)) for c in centers}
+    nearest = " ".join(f"WHEN {c} = least({', '.join(centers)}, double('inf')) THEN {i}" for i, c in enumerate(centers))
+    sums = points.sparkSession.sql(
+        f"""SELECT fit, CASE {nearest} END AS cell, count(*) AS n, {', '.join(f'sum(x{j}) AS s{j}' for j in range(width))}
+        FROM (SELECT fit, {', '.join(f'x{j}' for j in range(width))}, {', '.join(f'{d} AS {c}' for c, d in steps.items())}
+              FROM (SELECT *, inline(from_json(:rows, '{kind}')) FROM {{points}}))
+        GROUP BY 1, 2""", {"rows": json.dumps(rows)}, points=points)
+    found = {fit: (np.zeros(len(c)), np.zeros((len(c), width))) for fit, c in fits.items()}
+    for row in sums.collect():
+        n, total = found[row["fit"]]
+        n[row["cell"]] = row["n"]
+        total[row["cell"]] = [row[f"s{j}"] / GRID for j in range(width)]
+    return found
+
+
+def fit_all_kmeans(scaled: DataFrame, columns: Sequence[str], ks: Sequence[int] = ALLOWED_K, restarts: int = 10,
+                   seed: int = 42, max_iterations: int = 300) -> dict[int, KMeansFit]:
+    """Best of several starts by cost, for several numbers of clusters at once.
+
+    All starts of all k advance together: one pass over the rows per round, until the last of them stands still. A
+    center that no row is nearest to stays where it is; rows with a null take no part. First centers follow a hash of the rows, sums are whole
+    numbers: the fits are the same however the rows are dealt to partitions.
+    """
+    for k in ks:
+        check_k(k)
+    width = len(columns)
+    known = scaled.select(*[F.round(F.col(c).cast("double") * GRID).cast("bigint").alias(f"x{j}") for j, c in enumerate(columns)]).dropna()
+    points = materialize(dealt(known), "points")
+    names = [f"x{j}" for j in range(width)]
+    seeds = points.orderBy(F.xxhash64(*names, F.lit(seed)), *names).limit(SEED_ROWS).collect()
+    if not seeds:
+        raise ArgumentError("K-Means needs rows.")
+    seeds = np.array([list(r) for r in seeds], float) / GRID
+    squares = points.agg(*[F.sum(F.col(n).cast("decimal(19,0)") * F.col(n).cast("decimal(19,0)")).alias(n) for n in names]).first()
+    whole = sum(float(v) for v in squares) / GRID**2
+    plan = [(k, start) for k in ks for start in range(restarts)]
+    centers = {i: _first_centers(seeds, k, seed + start) for i, (k, start) in enumerate(plan)}
+    moving = dict(centers)
+    for _ in range(max_iterations):
+        if not moving:
+            break
+        for i, (n, total) in _cell_sums(points, width, moving).items():
+            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], moving[i])
+            shift = ((moved - moving[i]) ** 2).sum()
+            centers[i] = moving[i] = moved
+            if shift <= TOLERANCE:
+                del moving[i]
+    costs = {}
+    for i, (n, total) in _cell_sums(points, width, centers).items():
+        # sum |x - c|^2 = sum |x|^2 - 2 c . sum x + n |c|^2
+        costs[i] = max(whole + float((n * (centers[i] ** 2).sum(axis=1) - 2 * (centers[i] * total).sum(axis=1)).sum()), 0.0)
+    fits = {}
+    for k in ks:
+        own = [i for i, (other, _) in enumerate(plan) if other == k]
+        best = min(own, key=lambda i: (costs[i], i))
+        fits[k] = KMeansFit([list(map(float, c)) for c in centers[best]], costs[best], [costs[i] for i in own])
+    return fits
 
-    def fit(start: int) -> tuple[float, list[list[float]]]:
-        kmeans = KMeans(featuresCol="features", k=k, seed=seed + start, maxIter=max_iterations, tol=0.01 / math.sqrt(k))
-        model = kmeans.fit(vectors)
-        return model.summary.trainingCost, [list(map(float, c)) for c in model.clusterCenters()]
 
-    try:
-        vectors.count()
-        with ThreadPool(max(1, min(parallel, restarts))) as pool:
-            fits = pool.map(inheritable_thread_target(session)(fit), range(restarts))
-    finally:
-        vectors.unpersist()
-    cost, centers = min(fits)
-    return KMeansFit(centers, cost, [c for c, _ in fits])
+def fit_kmeans(scaled: DataFrame, columns: Sequence[str], k: int = 3, restarts: int = 10, seed: int = 42,
+               max_iterations: int = 300) -> KMeansFit:
+    """Best of several starts for one k."""
+    k = check_k(k)
+    return fit_all_kmeans(scaled, columns, (k,), restarts, seed, max_iterations)[k]
 
 
 def squared_distance(columns: Sequence[str], center: Sequence[float]) -> Column:

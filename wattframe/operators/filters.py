@@ -38,8 +38,10 @@ def apply_filters(
 
 
 def filter_options(df: DataFrame, roles: Roles = METERED) -> DataFrame:
-    """(kind, value, label): distinct buildings, types, months and categories. One pass; sort by (kind, value) to
-    show. The fixed order of the categories is in `category_options`."""
+    """(kind, value, label): distinct buildings, types, months and categories. One pass, in which rows are first
+    reduced to their distinct combinations; sort by (kind, value) to show. The fixed order of the categories is in
+    `category_options`."""
+    df = df.select(roles.entity, roles.entity_type, roles.month, roles.category).distinct()
     number = F.lpad(F.col(roles.month).cast("string"), 2, "0")
     kinds = F.array(
         F.struct(F.lit("building").alias("kind"), F.col(roles.entity).alias("value"),

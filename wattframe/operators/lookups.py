@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattframe.session import materialize
+from wattframe.session import materialize, stored_bytes
 
 #: A stored table of at most this many bytes is sent to all tasks.
 MAX_BROADCAST_BYTES = 8 << 20
@@ -13,11 +13,6 @@ MAX_BROADCAST_BYTES = 8 << 20
 SALTS = 16
 
 
-def stored_bytes(table: DataFrame) -> int:
-    """Bytes of the files of a stored table, which Spark takes from the file listing."""
-    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def is_small(table: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> bool:
     return stored_bytes(table) <= max_bytes
 

@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattframe.functions.numbers import nan_to_null
-from wattframe.session import materialize
+from wattframe.session import materialize, stored_bytes
 
 MAX_BROADCAST_GROUPS = 100_000
+#: Counts of at most this many stored bytes are sorted by group in one step instead of in ranges.
+MAX_SORTED_BYTES = 8 << 20
 
 
 def order_statistics(rows: DataFrame, group: str, value: str, ranks: Callable[[Column], Sequence[Column]]) -> DataFrame:
@@ -27,6 +29,8 @@ def order_statistics(rows: DataFrame, group: str, value: str, ranks: Callable[[C
     """
     kept = rows.select(F.col(group).alias("g"), nan_to_null(F.col(value).cast("double")).alias("v")).where("v is not null")
     counts = materialize(kept.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), "value-counts")
+    if stored_bytes(counts) <= MAX_SORTED_BYTES:
+        return _from_few_counts(counts, ranks)
     placed = counts.repartitionByRange("g", "v").withColumn("range", F.spark_partition_id())
     placed = materialize(placed, "value-ranges")  # written, so that the range of a row is settled
     sums = placed.groupBy("g", "range").agg(F.sum("n").alias("here"))
@@ -49,6 +53,19 @@ def order_statistics(rows: DataFrame, group: str, value: str, ranks: Callable[[C
     ).select("g", "n", F.col("at.v").alias("v"))
 
 
+def _from_few_counts(counts: DataFrame, ranks: Callable[[Column], Sequence[Column]]) -> DataFrame:
+    """The same where even the counts of all groups together fit a task: they are run up in one window."""
+    group = Window.partitionBy("g")
+    ends = counts.select("g", "v", "n", F.sum("n").over(group.orderBy("v")).alias("end"), F.sum("n").over(group).alias("total"))
+    wanted = F.array(*[r.cast("bigint") for r in ranks(F.col("total"))])
+    numbered = F.transform(wanted, lambda rank, place: F.struct(place.alias("place"), rank.alias("rank")))
+    held = F.filter(numbered, lambda x: (x["rank"] <= F.col("end")) & (x["rank"] > F.col("end") - F.col("n")))
+    found = ends.select("g", "total", "v", F.explode(F.transform(held, lambda x: x["place"])).alias("place"))
+    return found.groupBy("g").agg(
+        F.first("total").alias("n"), F.array_sort(F.collect_list(F.struct("place", "v"))).alias("at")
+    ).select("g", "n", F.col("at.v").alias("v"))
+
+
 def _same_range() -> Column:
     return F.col("g").eqNullSafe(F.col("_g")) & (F.col("range") == F.col("_range"))
 

@@ -40,24 +40,22 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, spread: bool = False) -> DataFrame:
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write the rows to the shared folder and read them back.
 
     For a frame that several jobs read: the lineage is cut, later passes read only the columns they need, and
     a lost executor costs a re-read instead of a recomputation.
-
-    `spread` is for iterative readers. Fewer files than cores means that a few tasks held all rows, so the
-    table is small; it is then written again with its rows dealt out to all cores. A large table is left alone.
     """
-    spark = df.sparkSession
-
-    def stored(rows: DataFrame) -> DataFrame:
-        path = scratch_dir(spark, label)
-        rows.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    table = stored(df)
-    cores = spark.sparkContext.defaultParallelism
-    if spread and len(table.inputFiles()) < cores:
-        return stored(table.repartition(cores))
-    return table
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly to as many partitions as shuffles have, for rows that are read many times over."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes of the files of a stored table, which Spark takes from the file listing."""
+    return int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from wattframe.operators import cleaning as C
 from wattframe.operators import clusters as K
 from wattframe.operators import profiling as P
 from wattframe.operators.encoding import domain_rows, fit_scaler, one_hot, ordinal_code
-from wattframe.session import scratch_dir
+from wattframe.operators.sketches import approximate_stats, part_sketches
+from wattframe.session import materialize, scratch_dir
 from wattframe.sources.csv_files import read_csv, write_csv
-from wattframe.sources.store import fingerprint, ingest, load_table, write_table
+from wattframe.sources.store import fingerprint, ingest, ingest_parts, load_parts, load_table, signature, write_table
 from workload.readings import RAW, READINGS, duckdb_cte, readings, readings_raw
 from workload.registry import half_up_sql as hu
 from workload.registry import query
@@ -369,3 +372,62 @@ def clusters_from_raw(spark, sf_dir):
     assigned = K.assign_centers(scaled, [f"z_{c}" for c in _CLEANED], _CLEANED_CENTERS)
     return assigned.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("records"), half_up(F.sum("distance2"), 1).alias("inertia"))
+
+
+@query("ingest_parts", R + """, attempts(attempt, written, kept, removed) AS (VALUES (1, 12, 0, 0), (2, 0, 12, 0), (3, 1, 11, 0), (4, 0, 11, 1))
+SELECT attempt, written, kept, removed, count(*) AS records,
+ CAST(sum(h + CASE WHEN attempt >= 3 AND m = 2 THEN 1 ELSE 0 END) AS BIGINT) AS hours
+FROM attempts, (SELECT month AS m, hour AS h FROM readings) WHERE attempt < 4 OR m <> 7 GROUP BY ALL""")
+def ingest_parts_by_month(spark, sf_dir):
+    """A first import, the same again, one month changed, one month gone; each time the whole table is read back."""
+    data = readings(spark, sf_dir).select("reading_id", "month", "hour", "building_name")
+    changed = data.withColumn("hour", F.col("hour") + F.when(F.col("month") == 2, 1).otherwise(0))
+    path, rows = scratch_dir(spark, "parts"), None
+    for attempt, frame in enumerate((data, data, changed, changed.where("month <> 7")), start=1):
+        done = ingest_parts(spark, lambda df=frame: df, path, "month", ["building_name"])
+        seen = load_parts(spark, path).agg(
+            F.lit(attempt).alias("attempt"), F.lit(done.written).alias("written"), F.lit(done.kept).alias("kept"),
+            F.lit(done.removed).alias("removed"), F.count(F.lit(1)).alias("records"), F.sum("hour").alias("hours"))
+        seen = materialize(seen, "imported")
+        rows = seen if rows is None else rows.unionAll(seen)
+    return rows
+
+
+_SKETCHED = READINGS.cluster_numeric
+
+
+@query("sketched_stats", R + " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS n, true AS ranks_near, true AS distinct_near FROM readings" for c in (*_SKETCHED, "building_name")))
+def sketched_stats(spark, sf_dir):
+    """Sketches per month, stored and merged: quartiles must have ranks within 2 % of the rows, distinct counts lie
+    within 8 % (both are compared with exact counts here)."""
+    rows = readings(spark, sf_dir)
+    sketches = materialize(part_sketches(rows, "month", _SKETCHED, ("building_name",)), "sketches")
+    stats = {r["column"]: r for r in approximate_stats(sketches).collect()}
+    parts = []
+    for c, s in stats.items():
+        near = F.lit(True)
+        for fraction, q in ((0.25, s["q25"]), (0.5, s["q50"]), (0.75, s["q75"])):
+            if q is not None:
+                below, upto = F.avg((F.col(c) < q).cast("double")), F.avg((F.col(c) <= q).cast("double"))
+                near = near & (below <= fraction + 0.02) & (upto >= fraction - 0.02)
+        exact = F.count_distinct(c)
+        parts.append(rows.agg(
+            F.lit(c).alias("column"), F.lit(s["n"]).alias("n"), near.alias("ranks_near"),
+            (F.abs(F.lit(s["distinct_values"]) - exact) <= 0.08 * exact).alias("distinct_near")))
+    return reduce(lambda a, b: a.unionAll(b), parts)
+
+
+@query("fingerprint_facts", "SELECT unnest(['permuted', 'changed', 'repeated', 'renamed']) AS variant, unnest([true, false, false, false]) AS same")
+def fingerprint_facts(spark, sf_dir):
+    """Whether the fingerprint of the table stays: in another order, with one value changed, a row twice, a column renamed."""
+    data = materialize(readings(spark, sf_dir).select("reading_id", "hour", "building_name", "energy_consumption_kwh"), "printed")
+    first = data.agg(F.min("reading_id")).first()[0]
+    variants = {
+        "permuted": data.repartition(7, "hour").sortWithinPartitions(F.col("reading_id").desc()),
+        "changed": data.withColumn("hour", F.col("hour") + F.when(F.col("reading_id") == first, 1).otherwise(0)),
+        "repeated": data.unionAll(data.where(F.col("reading_id") == first).limit(1)),
+        "renamed": data.withColumnRenamed("hour", "hours"),
+    }
+    own = signature(data)
+    return spark.createDataFrame([(name, signature(df) == own) for name, df in variants.items()], "variant string, same boolean")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from wattframe.functions.numbers import half_up
 from wattframe.operators import clusters as K
-from wattframe.plans.clustering import cluster_profiles, scaled_rows, z_columns
+from wattframe.plans.clustering import cluster_profiles, scaled_rows, stored_profiles, z_columns
 from wattframe.plans.clustering import k_sweep as sweep
-from wattframe.session import materialize
+from wattframe.session import materialize, scratch_dir
 from workload.model_queries import HASH, order_hash
 from workload.readings import READINGS, duckdb_cte, readings
 from workload.registry import half_up_sql as hu
@@ -151,4 +151,17 @@ def projected_scatter(spark, sf_dir):
 
 @query("k_sweep")
 def k_sweep(spark, sf_dir):
-    return sweep(readings(spark, sf_dir), READINGS, restarts=3)
+    return sweep(readings(spark, sf_dir), READINGS)
+
+
+@query("profiles_store", duckdb_cte() + """SELECT a.attempt, a.k, a.reused, (SELECT count(*) FROM readings) AS records, a.k AS clusters
+FROM (VALUES (1, 3, false), (2, 3, true), (3, 2, false), (4, 3, false)) AS a(attempt, k, reused)""")
+def profiles_store(spark, sf_dir):
+    """A first run, the same data in another order, another k, and data in which a value has changed."""
+    data = materialize(readings(spark, sf_dir).select(*READINGS.key, *COLUMNS), "profiled")
+    changed = data.withColumn("temperature_c", F.col("temperature_c") + F.when(F.col("reading_id") % 1000 == 0, 1).otherwise(0))
+    path, rows = scratch_dir(spark, "profiles"), []
+    for attempt, (frame, k) in enumerate(((data, 3), (data.repartition(3, "temperature_c"), 3), (data, 2), (changed, 3)), start=1):
+        stored = stored_profiles(spark, path, frame, READINGS, k, restarts=1)
+        rows.append((attempt, k, stored.reused, stored.reports["summary"].first()["records"], stored.reports["profile"].count()))
+    return spark.createDataFrame(rows, "attempt int, k int, reused boolean, records long, clusters long")

@@ -8,6 +8,7 @@ from wattframe.functions.numbers import half_up
 from wattframe.operators import evaluation as E
 from wattframe.operators import levels as L
 from wattframe.operators import trees as T
+from wattframe.operators.count_tree import TREE_VIEW_DEPTH, fit_count_tree
 from wattframe.operators.encoding import category_domains
 from wattframe.operators.splitting import split_random, split_sizes, split_stratified
 from wattframe.operators.validation import class_input_check, energy_input_check, validate
@@ -297,26 +298,96 @@ def score_energy(spark, sf_dir):
     return readings(spark, sf_dir).select("reading_id", *[x.alias(c) for c, x in outputs.items()])
 
 
+# The tree in SQL: the same bins, counts, gains and order of ties, one group of CTEs per level.
+_NUMERIC, _CATEGORICAL = READINGS.class_numeric, READINGS.class_categorical
+_DEPTH, _LEAF, _BINS = 6, 10, 256
+
+
+def _entropy(parts) -> str:
+    def n_log_n(n):
+        return f"CASE WHEN {n} > 0 THEN ({n}) * ln(({n})::DOUBLE) ELSE 0 END"
+
+    return f"({n_log_n(' + '.join(parts))} - " + " - ".join(n_log_n(p) for p in parts) + ")"
+
+
+def _level_sql(d: int) -> str:
+    cells = ", ".join([f"{{'f': {i}, 'bin': bin_{c}, 'cat': NULL::VARCHAR}}" for i, c in enumerate(_NUMERIC)]
+                      + [f"{{'f': {len(_NUMERIC) + i}, 'bin': 0, 'cat': {c}}}" for i, c in enumerate(_CATEGORICAL)])
+    number = f"f < {len(_NUMERIC)}"
+    classes = range(len(CLASSES))
+    left = [f"CASE WHEN {number} THEN p{c} ELSE w{c} - n{c} END" for c in classes]
+    goes_left = "CASE " + " ".join(f"WHEN f = {i} THEN bin_{c} <= bin" for i, c in enumerate(_NUMERIC)) + " " + " ".join(
+        f"WHEN f = {len(_NUMERIC) + i} THEN coalesce({c} <> cat, true)" for i, c in enumerate(_CATEGORICAL)) + " END"
+    return f""",
+cells{d} AS MATERIALIZED (SELECT node, cell.f AS f, cell.bin AS bin, cell.cat AS cat, {', '.join(f'count(*) FILTER (y = {c}) AS n{c}' for c in classes)}
+ FROM (SELECT node, y, unnest([{cells}]) AS cell FROM at{d} WHERE side = 'train' AND depth = {d}) GROUP BY ALL),
+sums{d} AS (SELECT *, {', '.join(f'sum(n{c}) OVER (PARTITION BY node, f)::BIGINT AS w{c}, sum(n{c}) OVER (PARTITION BY node, f ORDER BY bin ROWS UNBOUNDED PRECEDING)::BIGINT AS p{c}' for c in classes)}
+ FROM cells{d}),
+sides{d} AS (SELECT *, {', '.join(f'{x} AS l{c}' for c, x in enumerate(left))}, {', '.join(f'w{c} - ({x}) AS r{c}' for c, x in enumerate(left))} FROM sums{d}),
+gains{d} AS (SELECT *, CAST(floor(({_entropy([f'w{c}' for c in classes])} - {_entropy([f'l{c}' for c in classes])} - {_entropy([f'r{c}' for c in classes])})
+ / ({' + '.join(f'w{c}' for c in classes)}) / ln(2::DOUBLE) * 1e10 + 0.5) AS BIGINT) AS gain FROM sides{d}
+ WHERE {' + '.join(f'l{c}' for c in classes)} >= {_LEAF} AND {' + '.join(f'r{c}' for c in classes)} >= {_LEAF} AND ({number} OR cat IS NOT NULL)),
+best{d} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, bin, cat) AS i FROM gains{d}
+ WHERE gain > 0) WHERE i = 1),
+at{d + 1} AS MATERIALIZED (SELECT a.* EXCLUDE (node, depth), CASE WHEN b.node IS NULL THEN a.node WHEN {goes_left} THEN 2 * a.node + 1
+  ELSE 2 * a.node + 2 END AS node, CASE WHEN b.node IS NULL THEN depth ELSE depth + 1 END AS depth
+ FROM at{d} a LEFT JOIN best{d} b ON a.node = b.node AND a.depth = {d})"""
+
+
+_TREE = R + f"""
+, ranked AS (SELECT energy_category, {HASH} AS h, row_number() OVER (PARTITION BY energy_category ORDER BY {HASH}) AS i,
+  count(*) OVER (PARTITION BY energy_category) AS n FROM readings),
+sidecuts AS (SELECT energy_category, max(h) AS cut FROM ranked WHERE i <= round_even(n * 0.2, 0) GROUP BY energy_category),
+sided AS MATERIALIZED (SELECT readings.*, CASE WHEN {HASH} <= cut THEN 'test' ELSE 'train' END AS side,
+ array_position({sorted(CLASSES)}, energy_category) - 1 AS y FROM readings JOIN sidecuts USING (energy_category)),
+""" + ", ".join(f"""cuts_{c} AS MATERIALIZED (SELECT v, row_number() OVER (ORDER BY v) - 1 AS bin FROM (SELECT DISTINCT v FROM (
+  SELECT {c}::DOUBLE AS v, row_number() OVER (ORDER BY {c}) AS i, count(*) OVER () AS n FROM sided WHERE side = 'train')
+  JOIN range(1, {_BINS}) AS k(k) ON i = (k * n + {_BINS - 1}) // {_BINS}))""" for c in _NUMERIC) + """,
+at0 AS MATERIALIZED (SELECT sided.*, 0 AS node, 0 AS depth, """ + ", ".join(
+    f"coalesce(cuts_{c}.bin, (SELECT count(*) FROM cuts_{c})) AS bin_{c}" for c in _NUMERIC) + " FROM sided " + " ".join(
+    f"ASOF LEFT JOIN cuts_{c} ON sided.{c}::DOUBLE <= cuts_{c}.v" for c in _NUMERIC) + ")" + "".join(map(_level_sql, range(_DEPTH))) + f""",
+counted AS (SELECT node, depth, {', '.join(f'count(*) FILTER (y = {c}) AS n{c}' for c in range(len(CLASSES)))}, count(*) AS n FROM (
+""" + " UNION ALL ".join(f"SELECT node, depth, y FROM at{d} WHERE side = 'train' AND depth = {d}" for d in range(_DEPTH + 1)) + f""")
+ GROUP BY ALL),
+labelled AS (SELECT *, CASE {' '.join(f"WHEN n{c} >= greatest({', '.join(f'n{o}' for o in range(len(CLASSES)))}) THEN '{name}'" for c, name in enumerate(sorted(CLASSES)))} END AS label FROM counted),
+splits AS (SELECT node, f, bin, cat, gain FROM ({' UNION ALL '.join(f'SELECT node, f, bin, cat, gain FROM best{d}' for d in range(_DEPTH))})),
+named AS (SELECT l.*, {list(_NUMERIC + _CATEGORICAL)}[f + 1] AS feature, cat, gain, s.node IS NOT NULL AS inner_node,
+ CASE """ + " ".join(f"WHEN f = {i} THEN (SELECT v FROM cuts_{c} q WHERE q.bin = s.bin)" for i, c in enumerate(_NUMERIC)) + """ END AS threshold
+ FROM labelled l LEFT JOIN splits s USING (node))
+"""
+
+
 def _tree(spark, sf_dir):
-    sides = split_stratified(readings(spark, sf_dir), READINGS.key, READINGS.category)
-    sides = materialize(sides, "sides", spread=True)
-    return sides, T.fit_tree(sides.where("side = 'train'"), READINGS)
+    """Train and test sides by the hash that SQL can compute, and the tree of the train side."""
+    needed = [*READINGS.key, *READINGS.regression_numeric, *_CATEGORICAL, READINGS.category]
+    rows = readings(spark, sf_dir).select(*dict.fromkeys(needed))
+    sides = materialize(split_stratified(rows, READINGS.key, READINGS.category, order=order_hash()), "sides")
+    return sides, fit_count_tree(sides.where("side = 'train'"), READINGS, _DEPTH, _LEAF, _BINS)
 
 
-@query("dt_predictions")
+@query("dt_predictions", _TREE + f"""SELECT reading_id, energy_category, label AS predicted
+FROM at{_DEPTH} a JOIN labelled USING (node) WHERE side = 'test'""")
 def dt_predictions(spark, sf_dir):
-    sides, model = _tree(spark, sf_dir)
-    return T.predict_category(sides.where("side = 'test'"), model).select("reading_id", "energy_category", "predicted")
+    sides, tree = _tree(spark, sf_dir)
+    return tree.predict(sides.where("side = 'test'")).select("reading_id", "energy_category", "predicted")
 
 
-@query("dt_importance")
+@query("dt_importance", _TREE + f"""SELECT feature, {hu('(coalesce(sum(gain * n), 0) / (SELECT sum(gain * n) FROM named WHERE inner_node))', 4)} AS importance
+FROM (SELECT unnest({list(_NUMERIC + _CATEGORICAL)}) AS feature) LEFT JOIN (SELECT * FROM named WHERE inner_node) USING (feature) GROUP BY feature""")
 def dt_importance(spark, sf_dir):
-    return T.importance(_tree(spark, sf_dir)[1])
+    return _tree(spark, sf_dir)[1].importance(spark)
 
 
-@query("tree_nodes")
+@query("tree_nodes", _TREE + f""", shown AS (SELECT *, inner_node AND depth < {TREE_VIEW_DEPTH} AS open FROM named WHERE depth <= {TREE_VIEW_DEPTH})
+SELECT c.node AS node_id, CASE WHEN c.node > 0 THEN (c.node - 1) // 2 END AS parent_id,
+ CASE WHEN c.node > 0 THEN CASE WHEN (c.node % 2 = 1) = (p.cat IS NULL) THEN 'yes' ELSE 'no' END END AS branch, c.depth,
+ CASE WHEN c.open THEN CASE WHEN c.cat IS NULL THEN c.feature || ' ≤ ' || format('{{:.2f}}', c.threshold) ELSE c.feature || ' = ' || c.cat END END AS split,
+ CASE WHEN c.open THEN c.feature END AS split_feature, CASE WHEN c.open THEN c.cat END AS split_value,
+ CASE WHEN c.open THEN c.threshold END AS threshold, c.n AS samples, c.label,
+ {hu('(' + _entropy([f'c.n{c}' for c in range(len(CLASSES))]) + ' / c.n / ln(2::DOUBLE))', 3)} AS entropy, c.inner_node AND NOT c.open AS truncated
+FROM shown c LEFT JOIN shown p ON p.node = (c.node - 1) // 2 AND c.node > 0""")
 def tree_nodes(spark, sf_dir):
-    return T.tree_nodes(_tree(spark, sf_dir)[1])
+    return _tree(spark, sf_dir)[1].rows(spark)
 
 
 @query("model_store", R + """SELECT a.attempt, a.reused, (SELECT count(*) FROM readings) AS records
@@ -324,7 +395,7 @@ FROM (VALUES (1, false), (2, true), (3, false)) AS a(attempt, reused)""")
 def model_store(spark, sf_dir):
     """A first fit, one on the same data in another order, and one in which a value has changed."""
     columns = ["reading_id", *READINGS.class_numeric, *READINGS.class_categorical, READINGS.category]
-    data = materialize(readings(spark, sf_dir).select(*columns), "train", spread=True)
+    data = materialize(readings(spark, sf_dir).select(*columns), "train")
     moved = data.repartition(5, "hour")
     changed = data.withColumn("humidity_pct", F.col("humidity_pct") + F.when(F.col("hour") == 0, 1).otherwise(0))
     path, depth = scratch_dir(spark, "model"), {"max_depth": 3}
@@ -335,15 +406,25 @@ def model_store(spark, sf_dir):
     return spark.createDataFrame(rows, "attempt int, reused boolean, records long")
 
 
-@query("score_category")
+_SHARES = ", ".join(f"n{sorted(CLASSES).index(c)} / n AS p_{c.lower()}" for c in CLASSES)
+_SCORES = _TREE + _RECORDS + _DOMAINS + f""",
+checked AS (SELECT reading_id, floor_area_sqft, {_CLASS_ERROR} AS error FROM records, domains),
+scored AS (SELECT reading_id, label, greatest(n0, n1, n2) / n AS confidence, {_SHARES} FROM at{_DEPTH} JOIN labelled USING (node))
+"""
+
+
+@query("score_category", _SCORES + """SELECT DISTINCT c.reading_id, error, CASE WHEN error IS NULL THEN label END AS predicted, """
+       + ", ".join(f"CASE WHEN error IS NULL THEN {hu(x, 9)} END AS {x}" for x in ("confidence", *[f"p_{c.lower()}" for c in CLASSES]))
+       + " FROM checked c JOIN scored s USING (reading_id)")
 def score_category(spark, sf_dir):
     """All records: prediction, confidence and class shares, or the rule a record breaks."""
-    sides, model = _tree(spark, sf_dir)
-    return classify_records(records(sides), model, domains(sides), READINGS.key, READINGS)
+    sides, tree = _tree(spark, sf_dir)
+    scored = classify_records(records(sides), tree, domains(sides), READINGS.key, READINGS)
+    return _digits(scored, ("confidence", *[f"p_{c.lower()}" for c in CLASSES]), 9).distinct()
 
 
 def _forest(spark, sf_dir):
-    sides = materialize(split_random(readings(spark, sf_dir), READINGS.key), "sides", spread=True)
+    sides = materialize(split_random(readings(spark, sf_dir), READINGS.key), "sides")
     return sides, T.fit_forest(sides.where("side = 'train'"), READINGS, **FOREST)
 
 

@@ -13,17 +13,19 @@ from workload.registry import half_up_sql as hu
 from workload.registry import query
 
 _ITEMS = """
-, items AS (SELECT reading_id, 'building_type=' || building_type AS a, 'occupancy_level=' || occupancy_level AS b,
+, items AS MATERIALIZED (SELECT reading_id, 'building_type=' || building_type AS a, 'occupancy_level=' || occupancy_level AS b,
  'temperature_level=' || temperature_level AS c, 'energy_category=' || energy_category AS d,
  CASE is_weekend WHEN 1 THEN 'day_type=Weekend' ELSE 'day_type=Weekday' END AS e FROM readings)"""
 _SETS = """
 , tot AS (SELECT count(*) AS t FROM items),
-iset AS (SELECT grouping_id(a, b, c, d, e) AS gid, a, b, c, d, e, count(*) AS n FROM items GROUP BY CUBE (a, b, c, d, e)),
-frequent AS (SELECT iset.*, t, array_to_string(list_sort(list_filter([a, b, c, d, e], lambda x: x IS NOT NULL)), ', ') AS txt
+iset AS MATERIALIZED (SELECT grouping_id(a, b, c, d, e) AS gid, a, b, c, d, e, count(*) AS n FROM items GROUP BY CUBE (a, b, c, d, e)),
+frequent AS MATERIALIZED (SELECT iset.*, t, array_to_string(list_sort(list_filter([a, b, c, d, e], lambda x: x IS NOT NULL)), ', ') AS txt
  FROM iset, tot WHERE gid <> 31 AND n / t >= CAST(0.1 AS DOUBLE)),
-rules AS (SELECT p.txt AS antecedent, k.txt AS consequent, f.n / f.t AS support, f.n / p.n AS confidence,
+halves AS MATERIALIZED (SELECT f.gid AS whole, p.range AS part FROM (SELECT DISTINCT gid FROM frequent) f, range(0, 31) p
+ WHERE (f.gid & p.range) = f.gid AND p.range <> f.gid),
+rules AS MATERIALIZED (SELECT p.txt AS antecedent, k.txt AS consequent, f.n / f.t AS support, f.n / p.n AS confidence,
   (f.n / p.n) / (k.n / f.t) AS lift
- FROM frequent f JOIN frequent p ON (f.gid & p.gid) = f.gid AND p.gid <> f.gid
+ FROM frequent f JOIN halves ON whole = f.gid JOIN frequent p ON p.gid = part
   AND (p.a IS NULL OR p.a = f.a) AND (p.b IS NULL OR p.b = f.b) AND (p.c IS NULL OR p.c = f.c)
   AND (p.d IS NULL OR p.d = f.d) AND (p.e IS NULL OR p.e = f.e)
  JOIN frequent k ON k.gid = 31 - (p.gid - f.gid)

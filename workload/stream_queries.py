@@ -11,7 +11,7 @@ from wattframe.operators import trees as T
 from wattframe.operators.splitting import split_random, split_stratified
 from wattframe.operators.validation import class_input_check, energy_input_check
 from wattframe.session import materialize, scratch_dir
-from wattframe.streaming.rollup import hourly_rollup, write_rollup
+from wattframe.streaming.rollup import hourly_rollup, read_rollup, upsert_rollup, write_rollup
 from wattframe.streaming.scoring import score_stream
 from workload.model_queries import _CLASS_ERROR, _DOMAINS, _ENERGY_ERROR, _RECORDS, domains, records
 from workload.readings import READINGS, duckdb_cte, readings, table
@@ -42,10 +42,19 @@ _HOURS = f"""SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS hour_start, count(*) AS
  FROM readings GROUP BY ts"""
 
 
-@query("stream_rollup", R + _HOURS +
-       " HAVING ts + INTERVAL '1' HOUR <= (SELECT max(ts) FROM readings) - INTERVAL '1' HOUR")
+@query("stream_rollup", R + _HOURS)
 def stream_rollup(spark, sf_dir):
-    """Hours closed by the watermark; the last ones stay open until later readings arrive."""
+    """Every hour as it stands after the last batch, those that are still open too."""
+    path, checkpoint = scratch_dir(spark, "rollup"), scratch_dir(spark, "rollup-checkpoint")
+    rolled = hourly_rollup(arriving(spark, sf_dir), ARRIVING)
+    upsert_rollup(rolled, path, checkpoint).awaitTermination()
+    return _shown(read_rollup(spark, path, rolled.schema))
+
+
+@query("stream_rollup_closed", R + _HOURS +
+       " HAVING ts + INTERVAL '1' HOUR <= (SELECT max(ts) FROM readings) - INTERVAL '1' HOUR")
+def stream_rollup_closed(spark, sf_dir):
+    """Hours closed by the watermark, each written once."""
     path, checkpoint = scratch_dir(spark, "rollup"), scratch_dir(spark, "rollup-checkpoint")
     rolled = hourly_rollup(arriving(spark, sf_dir), ARRIVING)
     write_rollup(rolled, path, checkpoint).awaitTermination()
@@ -71,7 +80,7 @@ def _outcomes(spark, sf_dir, check, score, predicted):
        f"SELECT reading_id, {_CLASS_ERROR} AS error, error IS NULL AS scored FROM records, domains")
 def stream_scoring(spark, sf_dir):
     """Every record is either classified by the tree or quarantined with its error."""
-    history = materialize(split_stratified(readings(spark, sf_dir), READINGS.key, READINGS.category), "history", spread=True)
+    history = materialize(split_stratified(readings(spark, sf_dir), READINGS.key, READINGS.category), "history")
     model = T.fit_tree(history.where("side = 'train'"), READINGS)
     check = class_input_check(domains(history), READINGS)
     return _outcomes(spark, sf_dir, check, lambda batch: T.score_category(batch, model, READINGS), "predicted")
@@ -81,7 +90,7 @@ def stream_scoring(spark, sf_dir):
        f"SELECT reading_id, {_ENERGY_ERROR} AS error, error IS NULL AS scored FROM records, domains")
 def stream_energy(spark, sf_dir):
     """The same with energy, cost and emissions from a forest."""
-    history = materialize(split_random(readings(spark, sf_dir), READINGS.key), "history", spread=True)
+    history = materialize(split_random(readings(spark, sf_dir), READINGS.key), "history")
     model = T.fit_forest(history.where("side = 'train'"), READINGS, trees=5, max_depth=6)
     check = energy_input_check(domains(history), READINGS)
     return _outcomes(spark, sf_dir, check, lambda batch: T.score_energy(batch, model), "energy_kwh")
