@@ -150,6 +150,49 @@ def test_chat_layouts(spark):
     assert all(got[i] == [(None, None, None)] for i in range(9, 14))
 
 
+def test_layouts_with_further_fields_and_content_parts(spark):
+    records = [
+        '{"instruction": "i", "input": "q", "output": "a", "text": "all"}',
+        '{"system": "s", "messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}',
+        '{"prompt": "p", "response": "a", "input": "q"}',
+        '{"messages": [{"role": "system"}, {"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}',
+        '{"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}, {"type": "image"}, {"type": "text", "text": "!"}, "?"]}]}',
+        '{"messages": [{"role": "user", "content": null}, {"role": "bot", "content": 5}], "text": 1, "role": null}',
+        '{"output": "alone"}']
+    table = spark.createDataFrame(list(enumerate(records)), "id bigint, j string")
+    made = chat.canonical_turns(table, F.try_parse_json("j"), F.col("id"), F.lit(0))
+    got = {}
+    for r in made.orderBy("conv_id", "place").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    assert got[0] == [("user", "i"), ("user", "q"), ("assistant", "a")]
+    assert got[1] == [("system", "s"), ("user", "q"), ("assistant", "a")]
+    assert got[2] == [("user", "p"), ("user", "q"), ("assistant", "a")]
+    assert got[3] == [("system", ""), ("user", "q"), ("assistant", "a")]
+    assert got[4] == [("user", "q!?")] and got[5] == [("user", ""), ("assistant", "5")]
+    assert chat.unmapped_records(made).first()["unmapped"] == 1
+
+
+def test_chat_of_awkward_rows(spark):
+    long_text = "<|im_end|> </s> \\ " * 20_000
+    rows = [(None, 0, "user", "no id"), (None, 1, "assistant", None), (1, 0, "user", "tie b"), (1, 0, "user", "tie a"),
+            (1, 1, "assistant", "x"), (1, 1, "assistant", "x"), (2, 0, None, long_text), (2, 1, "assistant", long_text), (3, 0, "", "")]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    for name in ("layout", "place", "part", "segments", "formatted"):
+        table = table.withColumn(name, F.lit("mine"))
+
+    def formatted(df):
+        made = chat.canonical_turns(df, F.to_variant_object(F.struct("role", "text")), F.col("conv_id"), F.col("turn"))
+        made = chat.format_turns(made).withColumn("turns", chat.read_back(F.col("formatted")))
+        return made.select("conv_id", "turns", chat.loss_text(F.col("turns"), F.col("loss_mask")).alias("loss")).collect()
+
+    got = {r["conv_id"]: ([(t["role"], t["text"]) for t in r["turns"]], r["loss"]) for r in formatted(table)}
+    assert got == {
+        None: ([("user", "no id"), ("assistant", "")], ""), 3: ([("", "")], ""),
+        1: ([("user", "tie a"), ("user", "tie b"), ("assistant", "x"), ("assistant", "x")], "xx"),
+        2: ([("", long_text), ("assistant", long_text)], long_text)}
+    assert formatted(table.limit(0)) == []
+
+
 def test_chat_query_has_the_probe(spark, sf_dir):
     row = [r for r in queries.op4(spark, sf_dir).collect() if r["conv_id"] == -7][0]
     text = "</s>[INST] ok [/INST]"

@@ -50,8 +50,8 @@ def source_targets(sums: DataFrame, weights: Sequence[float] = (1.0, 2.0, 3.0),
     )
 
 
-def _knots(schedule: Schedule) -> Column:
-    """The schedule as an array of (time, weight, slope, integral until then), over a whole of 1."""
+def knot_rows(schedule: Schedule) -> list[tuple[float, float, float, float]]:
+    """The schedule as (time, weight, slope, integral until then), over a whole of 1."""
     times = [float(t) for t, _ in schedule]
     weights = [float(w) for _, w in schedule]
     if len(times) < 2 or times[0] != 0.0 or times[-1] != 1.0 or times != sorted(set(times)):
@@ -61,11 +61,13 @@ def _knots(schedule: Schedule) -> Column:
     sums = [0.0]
     for i in range(len(times) - 1):
         sums.append(sums[-1] + (times[i + 1] - times[i]) * (weights[i] + weights[i + 1]) / 2)
-    return F.array(*[
-        F.struct(F.lit(times[i]).alias("time"), F.lit(weights[i] / sums[-1]).alias("weight"),
-                 F.lit((weights[i + 1] - weights[i]) / (times[i + 1] - times[i]) / sums[-1]).alias("slope"),
-                 F.lit(sums[i] / sums[-1]).alias("before"))
-        for i in range(len(times) - 1)])
+    return [(times[i], weights[i] / sums[-1], (weights[i + 1] - weights[i]) / (times[i + 1] - times[i]) / sums[-1],
+             sums[i] / sums[-1]) for i in range(len(times) - 1)]
+
+
+def _knots(schedule: Schedule) -> Column:
+    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("time", "weight", "slope", "before"), knot, strict=True)])
+                     for knot in knot_rows(schedule)])
 
 
 def training_time(share: Column, knots: Column) -> Column:
@@ -144,7 +146,34 @@ def curriculum_mix(docs: DataFrame, **options) -> DataFrame:
     return plan.select("row", F.explode("positions").alias("position")).orderBy("position").select("row.*")
 
 
-#: DuckDB: targets by the same level, the running sum of each source in one window.
+def in_training_order(plan: DataFrame) -> DataFrame:
+    """The rows of a plan, range-sorted by the first position; documents that are not read come last."""
+    return plan.orderBy(F.get("positions", F.lit(0)).asc_nulls_last(), F.col("row"))
+
+
+def position_text(positions: Column) -> Column:
+    """Positions in billionths, comma-joined."""
+    return F.array_join(F.transform(positions, lambda p: F.floor(p * 1e9 + 0.5).cast("string")), ",")
+
+
+def _position_sql(share: str) -> str:
+    """The billionths of `training_time` in SQL, by the turn of the source."""
+    def within(knot: tuple[float, float, float, float]) -> str:
+        time, weight, slope, before = (f"{v!r}::DOUBLE" for v in knot)
+        rest = f"({share} - {before})"
+        root = f"sqrt(greatest({weight} * {weight} + 2 * {slope} * {rest}, 0))"
+        return f"CASE WHEN {rest} <= 0 THEN {time} ELSE {time} + 2 * {rest} / ({weight} + {root}) END"
+
+    def turn(schedule: Schedule) -> str:
+        knots = knot_rows(schedule)
+        later = " ".join(f"WHEN {share} >= {k[3]!r}::DOUBLE THEN {within(k)}" for k in reversed(knots[1:]))
+        return f"CASE {later} ELSE {within(knots[0])} END" if later else within(knots[0])
+
+    turns = " ".join(f"WHEN {i} THEN {turn(s)}" for i, s in enumerate(DEFAULT_SCHEDULES))
+    return f"floor(least(CASE place % {len(DEFAULT_SCHEDULES)} {turns} END, 1) * 1e9 + 0.5)::BIGINT"
+
+
+#: DuckDB: targets by the same level, the running sum of each source in one window, positions from the same integral.
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -157,11 +186,13 @@ l AS (
   SELECT *, (everything - coalesce(sum(cap) OVER (ORDER BY cap / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(w) OVER (ORDER BY cap / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT min_by(level, cap / w) AS level FROM l WHERE level * w <= cap),
-t AS (SELECT w.source, source_size, least(cap, f.level * w) AS target FROM w, f),
+t AS (SELECT w.source, place, source_size, least(cap, f.level * w) AS target FROM w, f),
 m AS (
   SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size / 2.0::DOUBLE AS middle
   FROM d)
 SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
-  size * ((middle < target)::BIGINT + (middle + source_size < target)::BIGINT + (middle + 2 * source_size < target)::BIGINT) AS taken
+  size * ((middle < target)::BIGINT + (middle + source_size < target)::BIGINT + (middle + 2 * source_size < target)::BIGINT) AS taken,
+  concat_ws(',', %s) AS positions
 FROM m JOIN t ON m.source IS NOT DISTINCT FROM t.source
-"""
+""".replace("%s", ", ".join(
+    f"CASE WHEN middle + {e} * source_size < target THEN {_position_sql(f'((middle + {e} * source_size) / target)')} END" for e in range(MAX_EPOCHS)))

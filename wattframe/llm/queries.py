@@ -36,11 +36,14 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                           F.array_join(families, ",").alias("families"), "licenses")
 
 
-@query("op4_chat_format")
+#: What both turns of conversation -7 say.
+PROBE = "</s>[INST] ok [/INST]"
+
+
+@query("op4_chat_format", chat.oracle(PROBE))
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    text = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
+    probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
     record = F.to_variant_object(F.struct("role", "text"))
     turns = chat.canonical_turns(rows.unionByName(probe), record, F.col("conv_id"), F.col("turn"))
     def digests(turns):
@@ -100,7 +103,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_curriculum_mix", mixing.ORACLE)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.curriculum_plan(table(spark, sf_dir, "documents"), columns=[F.col("doc_id")])
-    return plan.select("row.doc_id", "size", "source_size", "target", "taken")
+    return mixing.in_training_order(plan).select(
+        "row.doc_id", "size", "source_size", "target", "taken", mixing.position_text(F.col("positions")).alias("positions"))
 
 
 @query("op11_spelling_variants", spelling.ORACLE)
