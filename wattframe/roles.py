@@ -68,6 +68,7 @@ class Roles:
     cluster_numeric: tuple[str, ...] = (
         "temperature_c", "occupancy_pct", "hvac_usage_pct", "lighting_usage_pct", "energy_consumption_kwh",
     )
+    # The feature lists above and the columns of percentages.
     percent_columns: tuple[str, ...] = ("humidity_pct", "occupancy_pct", "hvac_usage_pct", "lighting_usage_pct")
     level_sources: tuple[tuple[str, str], ...] = (
         ("temperature_level", "temperature_c"), ("occupancy_level", "occupancy_pct"),

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from wattframe.functions.numbers import half_up
 from wattframe.operators import trees as T
-from wattframe.operators.splitting import split_random, split_stratified
+from wattframe.operators.splitting import split_random
 from wattframe.operators.validation import class_input_check, energy_input_check
 from wattframe.session import materialize, scratch_dir
 from wattframe.streaming.rollup import hourly_rollup, read_rollup, upsert_rollup, write_rollup
 from wattframe.streaming.scoring import score_stream
-from workload.model_queries import _CLASS_ERROR, _DOMAINS, _ENERGY_ERROR, _RECORDS, domains, records
+from workload.model_queries import _DOMAINS, _ENERGY_ERROR, _RECORDS, _SCORES, _tree, domains, records
 from workload.readings import READINGS, duckdb_cte, readings, table
 from workload.registry import half_up_sql as hu
 from workload.registry import query
@@ -67,30 +67,28 @@ def batch_rollup(spark, sf_dir):
 
 
 def _outcomes(spark, sf_dir, check, score, predicted):
-    """Streams all records through `score_stream`; (reading_id, error, scored) of what both tables then hold."""
+    """Streams all records through `score_stream`; (reading_id, error, predicted) of what both tables then hold."""
     good, bad = scratch_dir(spark, "scored"), scratch_dir(spark, "quarantine")
     checkpoint = scratch_dir(spark, "scoring-checkpoint")
     score_stream(records(arriving(spark, sf_dir)), check, score, good, bad, checkpoint).awaitTermination()
-    scored = spark.read.parquet(good).select(
-        "reading_id", F.lit(None).cast("string").alias("error"), F.col(predicted).isNotNull().alias("scored"))
-    return scored.unionAll(spark.read.parquet(bad).select("reading_id", "error", F.lit(False)))
+    scored = spark.read.parquet(good).select("reading_id", F.lit(None).cast("string").alias("error"), predicted.alias("predicted"))
+    return scored.unionAll(spark.read.parquet(bad).select("reading_id", "error", F.lit(None)))
 
 
-@query("stream_scoring", R + _RECORDS + _DOMAINS +
-       f"SELECT reading_id, {_CLASS_ERROR} AS error, error IS NULL AS scored FROM records, domains")
+@query("stream_scoring", _SCORES + "SELECT DISTINCT c.reading_id, error, CASE WHEN error IS NULL THEN label END AS predicted"
+       " FROM checked c JOIN scored s USING (reading_id)")
 def stream_scoring(spark, sf_dir):
     """Every record is either classified by the tree or quarantined with its error."""
-    history = materialize(split_stratified(readings(spark, sf_dir), READINGS.key, READINGS.category), "history")
-    model = T.fit_tree(history.where("side = 'train'"), READINGS)
+    history, tree = _tree(spark, sf_dir)
     check = class_input_check(domains(history), READINGS)
-    return _outcomes(spark, sf_dir, check, lambda batch: T.score_category(batch, model, READINGS), "predicted")
+    return _outcomes(spark, sf_dir, check, lambda batch: tree.score(batch, READINGS), F.col("predicted")).distinct()
 
 
 @query("stream_energy", R + _RECORDS + _DOMAINS +
-       f"SELECT reading_id, {_ENERGY_ERROR} AS error, error IS NULL AS scored FROM records, domains")
+       f"SELECT reading_id, {_ENERGY_ERROR} AS error, CASE WHEN error IS NULL THEN true END AS predicted FROM records, domains")
 def stream_energy(spark, sf_dir):
     """The same with energy, cost and emissions from a forest."""
     history = materialize(split_random(readings(spark, sf_dir), READINGS.key), "history")
     model = T.fit_forest(history.where("side = 'train'"), READINGS, trees=5, max_depth=6)
     check = energy_input_check(domains(history), READINGS)
-    return _outcomes(spark, sf_dir, check, lambda batch: T.score_energy(batch, model), "energy_kwh")
+    return _outcomes(spark, sf_dir, check, lambda batch: T.score_energy(batch, model), F.col("energy_kwh") > 0)
