@@ -21,8 +21,9 @@ MAX_BROADCAST_GROUPS = 100_000
 MAX_SORTED_BYTES = 8 << 20
 
 
-def order_statistics(rows: DataFrame, group: str, value: str, ranks: Callable[[Column], Sequence[Column]]) -> DataFrame:
-    """(g, n, v): per group the number of values and, as an array, the values at the 1-based `ranks(n)`.
+def order_statistics(rows: DataFrame, group: str, value: str, ranks: Callable[[Column], Sequence[Column] | Column]) -> DataFrame:
+    """(g, n, v): per group the number of values and, as an array, the values at the 1-based `ranks(n)`, which are
+    columns or one array column.
 
     Nulls and NaN are no values; a group without any value is left out. Infinities are the ends of the order. Null
     is a group of its own.
@@ -39,7 +40,7 @@ def order_statistics(rows: DataFrame, group: str, value: str, ranks: Callable[[C
         F.col("g").alias("_g"), F.col("range").alias("_range"), "here",
         (F.sum("here").over(ranges) - F.col("here")).alias("below"),
         F.sum("here").over(Window.partitionBy("g")).alias("total"))
-    wanted = sums.select("*", F.posexplode(F.array(*[r.cast("bigint") for r in ranks(F.col("total"))])).alias("place", "rank"))
+    wanted = sums.select("*", F.posexplode(_rank_array(ranks(F.col("total")))).alias("place", "rank"))
     wanted = wanted.where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("here")))
     running = F.sum("n").over(Window.partitionBy("g", "range").orderBy("v"))
     # only ranges that hold a wanted rank are run up
@@ -53,11 +54,15 @@ def order_statistics(rows: DataFrame, group: str, value: str, ranks: Callable[[C
     ).select("g", "n", F.col("at.v").alias("v"))
 
 
+def _rank_array(ranks: Sequence[Column] | Column) -> Column:
+    return (ranks if isinstance(ranks, Column) else F.array(*ranks)).cast("array<bigint>")
+
+
 def _from_few_counts(counts: DataFrame, ranks: Callable[[Column], Sequence[Column]]) -> DataFrame:
     """The same where even the counts of all groups together fit a task: they are run up in one window."""
     group = Window.partitionBy("g")
     ends = counts.select("g", "v", "n", F.sum("n").over(group.orderBy("v")).alias("end"), F.sum("n").over(group).alias("total"))
-    wanted = F.array(*[r.cast("bigint") for r in ranks(F.col("total"))])
+    wanted = _rank_array(ranks(F.col("total")))
     numbered = F.transform(wanted, lambda rank, place: F.struct(place.alias("place"), rank.alias("rank")))
     held = F.filter(numbered, lambda x: (x["rank"] <= F.col("end")) & (x["rank"] > F.col("end") - F.col("n")))
     found = ends.select("g", "total", "v", F.explode(F.transform(held, lambda x: x["place"])).alias("place"))
