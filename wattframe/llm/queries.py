@@ -66,7 +66,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[secrets.count_kind(strong, k).alias(f"n_{k}") for k in secrets.STRONG],
         F.sha2(secrets.span_text(strong), 256).alias("base_sha256"),
-        secrets.span_text(F.array_sort(F.concat("strong", "weak"))).alias("spans"))
+        secrets.span_text(F.array_sort(F.concat("strong", "weak"))).alias("spans"),
+        F.array_join(F.transform("groups", secrets.span_text), ";").alias("linked_groups"))
 
 
 @query("op6_minhash_near_dedup")
