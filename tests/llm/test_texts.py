@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import zlib
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -267,13 +269,59 @@ def test_licenses_of_the_table(license_model, documents):
 
 
 def test_license_grams_lie_in_runs_of_known_words(license_model, documents):
-    pairs = set().union(*(p for group in license_model.templates.values() for p in group))
     for r in documents.limit(50).collect():
         for line in (r["text"] or "").split("\n"):
             words = licenses.words_of(line)
             runs = licenses.runs_of(words, license_model.known)
             assert {g for run in runs for g in licenses.grams_of(run)} >= {g for g in licenses.grams_of(words) if g in license_model.weights}
-            assert {p for run in runs for p in licenses.pairs_of(run)} & pairs == licenses.pairs_of(words) & pairs
+
+
+def test_every_licence_is_found_however_it_is_wrapped(license_model, documents):
+    rng = random.Random(12)
+    filler = [w for r in documents.limit(20).collect() for w in (r["text"] or "").split()]
+
+    def noise():
+        return " ".join(rng.choices(filler, k=rng.choice([5, 40])))
+
+    for family, group in {f: [*licenses.NAMES[f], *licenses.BODIES.get(f, ())] for f in licenses.NAMES}.items():
+        for notice in group:
+            words = notice.split()
+            for width in (2, 5, 12, len(words)):
+                if width == 2 and len(words) > 20:
+                    continue
+                wrapped = "\n".join(" ".join(words[i:i + width]) for i in range(0, len(words), width))
+                for text in (wrapped, f"{noise()}\n\n{wrapped}\n\n{noise()}", f"{noise()}\r\n \r\nThis is under\n{wrapped}\n{noise()}"):
+                    found = license_model.scan(text)
+                    first, last = text.index(words[0] + text[text.index(wrapped) + len(words[0]):][:1]), text.index(wrapped) + len(wrapped)
+                    assert family in {x["family"] for x in found}, (family, text)
+                    assert all(x["end"] >= first and x["start"] <= last for x in found)
+            torn = words[: len(words) // 2]
+            if len(words) > 20 and family not in {"Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL", "AGPL", "MPL-2.0", "CC0"}:
+                assert license_model.scan(" ".join(torn)) == []
+
+
+def test_several_licences_in_one_paragraph(license_model):
+    mit, bsd = licenses.BODIES["MIT"][0], licenses.BODIES["BSD"][0]
+
+    def families(text):
+        return [x["family"] for x in license_model.scan(text)]
+
+    assert families("MIT License or the Apache License, Version 2.0") == ["Apache-2.0", "MIT"]
+    assert families("Dual licensed: BSD 3-Clause License / GNU GPL v3") == ["BSD", "GPL-3.0"]
+    assert families(f"{mit}\n{bsd}\n{mit}") == ["MIT", "BSD", "MIT"]
+    assert families(f"MIT License\n\n{mit}") == ["MIT", "MIT"]
+    assert families("Released under the MIT License.\nReleased under the MIT License.") == ["MIT", "MIT"]
+    assert families("Under the terms of the GNU General Public License.") == ["GPL"]
+    assert families("Released under the MIT License,\nLicensed under the Apache License,\nVersion 2.0") == ["MIT", "Apache-2.0"]
+    assert families("Apache License,\n\nVersion 2.0 of the report") == []
+
+
+def test_license_work_grows_with_the_text(license_model):
+    lines = "Released under the MIT License.\nLicensed under CC BY-NC 4.0.\n" * 5_000
+    found = license_model.scan(lines)
+    assert len(found) == 10_000 and {x["family"] for x in found} == {"MIT", "CC-BY-NC"}
+    bodies = (licenses.BODIES["MIT"][0] + "\n") * 300
+    assert [x["family"] for x in license_model.scan(bodies)] == ["MIT"] * 300
 
 
 def test_licenses_unknown_and_awkward(license_model, awkward, clashing):
@@ -309,15 +357,20 @@ def test_toxicity_learns_from_document_labels(spark, make_docs, clashing):
 
 
 def test_toxicity_held_out(spark, sf_dir):
-    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    rows = [r for r in queries.op2(spark, sf_dir).collect() if r["doc_id"] in labels]
-    assert sum(r["predicted"] == labels[r["doc_id"]] for r in rows if r["held_out"]) >= 0.85 * sum(r["held_out"] for r in rows)
+    # the smallest tables have too few toxic documents to learn a word from
+    larger = str(Path(sf_dir).parent / "sf0.01")
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    rows = [(r["predicted"], labels[r["doc_id"]]) for r in queries.op2(spark, larger).collect() if r["held_out"] and r["doc_id"] in labels]
+    toxic, rejected, caught = sum(y == 1 for _, y in rows), sum(p == 1 for p, _ in rows), rows.count((1, 1))
+    # saying 0 throughout catches none, saying 1 throughout is right for a sixth
+    assert toxic > 10 and caught >= 0.7 * toxic and caught >= 0.9 * rejected
 
 
 def test_languages(spark, documents, clashing, make_docs):
     model = langid.train(documents)
     rows = langid.detect_languages(documents.withColumnRenamed("lang", "label"), model).collect()
-    assert sum(r["label"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
+    held_out = [r for r in rows if r["label"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
+    assert len(held_out) > 10 and sum(r["label"] == r["lang_pred"] for r in held_out) >= 0.95 * len(held_out)
     assert all(0 <= r["score"] <= 1 for r in rows)
     odd = {r["doc_id"]: r for r in langid.detect_languages(clashing, model).collect()}
     assert all(odd[i]["lang_pred"] == "und" and odd[i]["score"] == 0 for i in (1, 2, 3, 8))
