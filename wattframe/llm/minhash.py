@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from wattframe.errors import ArgumentError
 from wattframe.llm.components import connected_components
 from wattframe.llm.sizes import broadcast_if_small
+from wattframe.llm.words import NOT_BLANK
 from wattframe.session import materialize
 
 SHINGLE = 5
@@ -416,3 +417,20 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", row_id: str = "doc
     gone = broadcast_if_small(materialize(gone, "near-duplicates"))
     rows = docs.select(F.struct("*").alias("_row"), F.col(row_id).cast("bigint").alias("doc_id"))
     return rows.join(gone, "doc_id", "left_anti").select("_row.*")
+
+
+def oracle(percent: int = 85) -> str:
+    """The same in DuckDB, by counting the common shingles of every two documents that share any; ids are unique."""
+    return f"""
+WITH RECURSIVE spoken AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '{NOT_BLANK}') AS words FROM documents),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {SHINGLE} THEN [array_to_string(words, ' ')]
+  ELSE list_transform(range(1, len(words) - {SHINGLE} + 2), lambda i: array_to_string(words[i:i + {SHINGLE - 1}], ' ')) END) AS shingle FROM spoken),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common.n >= {percent} * (x.n + y.n - common.n)),
+reached(doc_id, other) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT reached.doc_id, b FROM reached JOIN links ON a = other),
+roots AS (SELECT doc_id, min(other) AS root FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, doc_id) AS component_id, coalesce(root, doc_id) IS NOT DISTINCT FROM doc_id AS kept
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN roots USING (doc_id)"""

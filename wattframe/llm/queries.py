@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattframe.llm import chat, decontaminate, langid, licenses, mixing, pieces, runs, search, secrets, spelling
+from wattframe.llm import chat, decontaminate, langid, licenses, minhash, mixing, pieces, runs, search, secrets, spelling
 from wattframe.llm.minhash import near_duplicates
 from wattframe.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401 - the first two are read by the entry
 from wattframe.llm.sharding import histogram_shards
@@ -70,7 +70,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("groups", secrets.span_text), ";").alias("linked_groups"))
 
 
-@query("op6_minhash_near_dedup")
+@query("op6_minhash_near_dedup", minhash.oracle())
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
