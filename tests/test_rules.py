@@ -63,6 +63,22 @@ def test_nothing_reaches_the_support(spark, readings):
     assert summary["transactions"] == readings.count()
 
 
+def test_rare_values_are_folded_before_the_cube(spark):
+    rows = spark.range(6000).select(
+        F.concat(F.lit("t"), F.col("id")).alias("building_type"), F.when(F.col("id") % 3 > 0, "Low").alias("occupancy_level"),
+        F.when(F.col("id") % 2 == 0, "High").otherwise(F.col("id").cast("string")).alias("temperature_level"),
+        F.lit("Low").alias("energy_category"), (F.col("id") % 2).cast("int").alias("is_weekend"))
+    found = I.frequent_itemsets(rows, 0.3)
+    assert as_sets(found) == as_sets(I.basket_itemsets(I.transactions(rows).select("items"), 0.3))
+    assert (found.transactions, found.items) == (6000, 6000 + 1 + 3001 + 1 + 2)
+    # nothing reaches the support; a support of less than one row
+    assert as_sets(I.frequent_itemsets(rows.select("*").withColumn("energy_category", F.lit(None).cast("string")), 0.9)) == set()
+    few = rows.limit(3)
+    assert as_sets(I.frequent_itemsets(few, 0.01)) == as_sets(I.basket_itemsets(I.transactions(few).select("items"), 0.01))
+    empty = I.frequent_itemsets(rows.limit(0), 0.1)
+    assert (as_sets(empty), empty.transactions, empty.items) == (set(), 0, 0)
+
+
 def test_missing_values_are_no_items(spark):
     rows = [("Lab", None, "Low", "High", 0)] * 3 + [("Lab", "Low", "Low", "High", 1)]
     df = spark.createDataFrame(

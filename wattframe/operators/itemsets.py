@@ -76,6 +76,8 @@ def frequent_itemsets(df: DataFrame, min_support: float = 0.1, roles: Roles = ME
 
     Rows are first counted per combination of attributes, which the map side reduces to the few combinations
     that occur. These counts are written once; the cube and everything after it never touch the rows again.
+    No frequent set holds a rare value, so rare values become null and the combinations are counted anew: the cube
+    expands at most (1 / min_support + 1) ^ attributes of them, however many values the attributes have.
     Each subset of attributes has at most 1 / min_support frequent sets, so the result is bounded whatever the
     size of the table. Above MAX_CUBE_COLUMNS attributes the cube would be too wide, and FP-growth takes over.
     """
@@ -86,19 +88,28 @@ def frequent_itemsets(df: DataFrame, min_support: float = 0.1, roles: Roles = ME
     names = list(columns)
     cells = df.select(*[x.alias(c) for c, x in columns.items()]).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     cells = materialize(cells, "item-cells")
-    facts = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.count_distinct(c).alias(c) for c in names])
-    facts = facts.first()
-    sums = cells.cube(*names).agg(F.grouping_id().alias("gid"), F.sum("n").alias("n"))
-    # a set bit means "attribute not in this set"; otherwise a null is a missing value, which is no item
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    least = minimum_count(total, min_support)
+    single = F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("item"), "n") for c in names]))
+    singles = cells.select(single).where(F.col("item").isNotNull()).groupBy("name", "item").agg(F.sum("n").alias("n"))
+    singles = materialize(singles, "single-items")
+    # at most 1 / min_support values of an attribute are frequent
+    frequent: dict[str, list[str]] = {c: [] for c in names}
+    for row in singles.where(F.col("n") >= least).collect():
+        frequent[row["name"]].append(row["item"])
+    folded = cells.select("n", *[F.when(F.col(c).isin(frequent[c]), F.col(c)).alias(c) for c in names])
+    folded = folded.groupBy(*names).agg(F.sum("n").alias("n"))
+    sums = folded.cube(*names).agg(F.grouping_id().alias("gid"), F.sum("n").alias("n"))
+    # a set bit means "attribute not in this set"; otherwise a null is a missing or a rare value, no item here
     complete = F.col("gid") != (1 << len(names)) - 1
     for i, c in enumerate(names):
         absent = F.col("gid").bitwiseAND(F.lit(1 << (len(names) - 1 - i))) != 0
         complete = complete & (absent | F.col(c).isNotNull())
     sets = (
-        sums.where(complete & (F.col("n") >= minimum_count(facts["n"], min_support)))
+        sums.where(complete & (F.col("n") >= least))
         .select(F.array_sort(F.array_compact(F.array(*names))).alias("items"), "n")
     )
-    return ItemSets(sets, facts["n"], sum(facts[c] for c in names),
+    return ItemSets(sets, total, singles.count(),
                     small=(1 << len(names)) / min_support <= MAX_BROADCAST_SETS)
 
 

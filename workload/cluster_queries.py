@@ -121,16 +121,55 @@ def kmeans_assign(spark, sf_dir):
     return cluster_profiles(readings(spark, sf_dir), READINGS).numbered.select("reading_id", "cluster", "distance2")
 
 
-@query("pca_variance")
+SQUARINGS = 12
+
+
+def _principal(components: int = 2) -> str:
+    """Principal components in SQL. A matrix squared again and again tends to the outer product of its first
+    eigenvector with itself; taken away from the matrix, the next one comes first."""
+    pairs = [(i, j) for i in range(len(Z)) for j in range(len(Z))]
+    sql = f"""
+, m1 AS MATERIALIZED (SELECT unnest({[i for i, _ in pairs]}) AS i, unnest({[j for _, j in pairs]}) AS j,
+ unnest([{', '.join(f'covar_pop({Z[i]}, {Z[j]})' for i, j in pairs)}]) AS v FROM scaled)"""
+    for c in range(1, components + 1):
+        sql += f", p{c}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM m{c} WHERE i = j) AS v FROM m{c})"
+        for n in range(SQUARINGS):
+            sql += f""",
+q{c}_{n} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM p{c}_{n} a JOIN p{c}_{n} b ON a.j = b.i GROUP BY ALL),
+p{c}_{n + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM q{c}_{n} WHERE i = j) AS v FROM q{c}_{n})"""
+        last = f"p{c}_{SQUARINGS}"
+        # the row of the largest diagonal element has the largest loading, with a plus
+        sql += f""",
+e{c} AS MATERIALIZED (SELECT j AS i, v / sqrt(max(CASE WHEN i = j THEN v END) OVER ()) AS w FROM {last}
+ WHERE i = (SELECT i FROM {last} WHERE i = j ORDER BY v DESC LIMIT 1)),
+l{c} AS MATERIALIZED (SELECT sum(v * a.w * b.w) AS value FROM m{c} m JOIN e{c} a ON a.i = m.i JOIN e{c} b ON b.i = m.j),
+m{c + 1} AS MATERIALIZED (SELECT m.i, m.j, v - value * a.w * b.w AS v FROM m{c} m JOIN e{c} a ON a.i = m.i JOIN e{c} b ON b.i = m.j, l{c})"""
+    return sql
+
+
+def _loading(c: int, n: int) -> str:
+    return f"(SELECT w FROM e{c} WHERE i = {n})"
+
+
+@query("pca_variance", R + _principal() + " " + " UNION ALL ".join(
+    f"SELECT {c} AS component, floor((SELECT value FROM l{c}) / (SELECT sum(v) FROM m1 WHERE i = j) * 1000 + 0.5) / 10 AS explained_pct, "
+    + ", ".join(f"{hu(_loading(c, n), 6)} AS {z}" for n, z in enumerate(Z)) for c in (1, 2)))
 def pca_variance(spark, sf_dir):
     scaled = _scaled(spark, sf_dir)
-    return K.pca_variance(scaled, K.fit_projection(scaled, Z))
+    found = K.pca_variance(scaled, K.fit_projection(scaled, Z))
+    return found.withColumns({z: half_up(F.col(z), 6) for z in Z})
 
 
-@query("pca_scatter")
+def _score(c: int) -> str:
+    return hu("(" + " + ".join(f"{z} * {_loading(c, n)}" for n, z in enumerate(Z)) + ")", 3)
+
+
+@query("pca_scatter", R + _principal() + f""" SELECT reading_id, cluster, {_score(1)} AS x, {_score(2)} AS y
+ FROM assigned ORDER BY {HASH}, reading_id, energy_consumption_kwh LIMIT 900""")
 def pca_scatter(spark, sf_dir):
     assigned = materialize(_assigned(spark, sf_dir), "assigned")
-    return K.pca_scatter(assigned, K.fit_projection(assigned, Z), ("reading_id",))
+    key = ("reading_id", READINGS.measure)
+    return K.pca_scatter(assigned, K.fit_projection(assigned, Z), key, order=order_hash()).drop(READINGS.measure)
 
 
 # Loadings of two fixed components, for the part of the scatter that SQL can check.
