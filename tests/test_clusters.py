@@ -147,3 +147,14 @@ def test_tier_and_description(spark):
 def test_allowed_k(k):
     with pytest.raises(ArgumentError, match="K must be 2, 3, 4 or 5"):
         K.check_k(k)
+
+
+def test_fit_from_given_centers(spark):
+    rows = [(float(x), float(y)) for x in (0, 1, 10, 11) for y in (0, 1)] + [(None, 5.0)]
+    table = spark.createDataFrame(rows, "a double, b double")
+    fit = K.fit_from_centers(table, ["a", "b"], [[0.0, 0.0], [5.0, 9.0], [500.0, 0.0]])
+    # the third is nearest to no row and stays
+    assert fit.centers == [[0.5, 0.5], [10.5, 0.5], [500.0, 0.0]] and fit.cost == pytest.approx(4.0)
+    assert K.fit_from_centers(table, ["a", "b"], [[3.0, 0.0]], max_iterations=0).centers == [[3.0, 0.0]]
+    empty = K.fit_from_centers(table.limit(0), ["a", "b"], [[3.0, 0.0]])
+    assert (empty.centers, empty.cost) == ([[3.0, 0.0]], 0.0)

@@ -97,6 +97,42 @@ def _cell_sums(points: DataFrame, width: int, fits: Mapping[int, np.ndarray]) ->
     return found
 
 
+def _points(scaled: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows without a null as whole numbers x0, x1, …, written."""
+    known = scaled.select(*[F.round(F.col(c).cast("double") * GRID).cast("bigint").alias(f"x{j}") for j, c in enumerate(columns)]).dropna()
+    return materialize(dealt(known), "points")
+
+
+def _advance(points: DataFrame, width: int, first: Mapping[int, np.ndarray], rounds: int, tolerance: float,
+             ) -> tuple[dict[int, np.ndarray], dict[int, float]]:
+    """The centers of every fit after so many rounds, or once they stand still, and their costs."""
+    names = [f"x{j}" for j in range(width)]
+    squares = points.agg(*[F.sum(F.col(n).cast("decimal(19,0)") * F.col(n).cast("decimal(19,0)")).alias(n) for n in names]).first()
+    whole = sum(float(v or 0) for v in squares) / GRID**2
+    centers, moving = dict(first), dict(first)
+    for _ in range(rounds):
+        if not moving:
+            break
+        for i, (n, total) in _cell_sums(points, width, moving).items():
+            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], moving[i])
+            shift = ((moved - moving[i]) ** 2).sum()
+            centers[i] = moving[i] = moved
+            if shift <= tolerance:
+                del moving[i]
+    costs = {}
+    for i, (n, total) in _cell_sums(points, width, centers).items():
+        # sum |x - c|^2 = sum |x|^2 - 2 c . sum x + n |c|^2
+        costs[i] = max(whole + float((n * (centers[i] ** 2).sum(axis=1) - 2 * (centers[i] * total).sum(axis=1)).sum()), 0.0)
+    return centers, costs
+
+
+def fit_from_centers(scaled: DataFrame, columns: Sequence[str], first: Centers, max_iterations: int = 300,
+                     tolerance: float = TOLERANCE) -> KMeansFit:
+    """K-Means from given first centers, any number of them; without rows they stay where they are, at cost 0."""
+    centers, costs = _advance(_points(scaled, columns), len(columns), {0: np.array(first, float)}, max_iterations, tolerance)
+    return KMeansFit([list(map(float, c)) for c in centers[0]], costs[0], [costs[0]])
+
+
 def fit_all_kmeans(scaled: DataFrame, columns: Sequence[str], ks: Sequence[int] = ALLOWED_K, restarts: int = 10,
                    seed: int = 42, max_iterations: int = 300) -> dict[int, KMeansFit]:
     """Best of several starts by cost, for several numbers of clusters at once.
@@ -107,32 +143,15 @@ def fit_all_kmeans(scaled: DataFrame, columns: Sequence[str], ks: Sequence[int]
     """
     for k in ks:
         check_k(k)
-    width = len(columns)
-    known = scaled.select(*[F.round(F.col(c).cast("double") * GRID).cast("bigint").alias(f"x{j}") for j, c in enumerate(columns)]).dropna()
-    points = materialize(dealt(known), "points")
+    width, points = len(columns), _points(scaled, columns)
     names = [f"x{j}" for j in range(width)]
     seeds = points.orderBy(F.xxhash64(*names, F.lit(seed)), *names).limit(SEED_ROWS).collect()
     if not seeds:
         raise ArgumentError("K-Means needs rows.")
     seeds = np.array([list(r) for r in seeds], float) / GRID
-    squares = points.agg(*[F.sum(F.col(n).cast("decimal(19,0)") * F.col(n).cast("decimal(19,0)")).alias(n) for n in names]).first()
-    whole = sum(float(v) for v in squares) / GRID**2
     plan = [(k, start) for k in ks for start in range(restarts)]
-    centers = {i: _first_centers(seeds, k, seed + start) for i, (k, start) in enumerate(plan)}
-    moving = dict(centers)
-    for _ in range(max_iterations):
-        if not moving:
-            break
-        for i, (n, total) in _cell_sums(points, width, moving).items():
-            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], moving[i])
-            shift = ((moved - moving[i]) ** 2).sum()
-            centers[i] = moving[i] = moved
-            if shift <= TOLERANCE:
-                del moving[i]
-    costs = {}
-    for i, (n, total) in _cell_sums(points, width, centers).items():
-        # sum |x - c|^2 = sum |x|^2 - 2 c . sum x + n |c|^2
-        costs[i] = max(whole + float((n * (centers[i] ** 2).sum(axis=1) - 2 * (centers[i] * total).sum(axis=1)).sum()), 0.0)
+    centers, costs = _advance(points, width, {i: _first_centers(seeds, k, seed + start) for i, (k, start) in enumerate(plan)},
+                              max_iterations, TOLERANCE)
     fits = {}
     for k in ks:
         own = [i for i, (other, _) in enumerate(plan) if other == k]

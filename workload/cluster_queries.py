@@ -188,6 +188,41 @@ def projected_scatter(spark, sf_dir):
     return K.pca_scatter(_assigned(spark, sf_dir), projection, key, order=order_hash()).drop(READINGS.measure)
 
 
+LLOYD_ROUNDS = 8
+
+
+def _lloyd() -> str:
+    """The rounds of K-Means from CENTERS in SQL, on coordinates in the same units."""
+    xs = [f"x{j}" for j in range(len(Z))]
+    squares = " + ".join(f"(x{j} / {float(K.GRID)} - k.k_{c}) * (x{j} / {float(K.GRID)} - k.k_{c})" for j, c in enumerate(COLUMNS))
+    sql = ", points AS MATERIALIZED (SELECT row_number() OVER () AS id, " + ", ".join(
+        f"CAST(round({z} * {K.GRID}) AS BIGINT) AS {x}" for x, z in zip(xs, Z, strict=True)) + """ FROM scaled),
+c0 AS MATERIALIZED (SELECT * FROM centers)"""
+    for n in range(LLOYD_ROUNDS + 1):
+        sql += f""",
+a{n} AS MATERIALIZED (SELECT id, min(struct_pack(d := {squares}, cluster := cluster)) AS near FROM points, c{n} k GROUP BY id)"""
+        if n < LLOYD_ROUNDS:
+            sql += f""",
+c{n + 1} AS MATERIALIZED (SELECT k.cluster, {', '.join(f'coalesce(s.{c}, k.k_{c}) AS k_{c}' for c in COLUMNS)} FROM c{n} k LEFT JOIN (
+  SELECT near.cluster AS cluster, {', '.join(f'sum({x}) / {float(K.GRID)} / count(*) AS {c}' for x, c in zip(xs, COLUMNS, strict=True))}
+  FROM a{n} JOIN points USING (id) GROUP BY ALL) s USING (cluster))"""
+    last = LLOYD_ROUNDS
+    return sql + f""" SELECT cluster, (SELECT count(*) FROM a{last} WHERE near.cluster = k.cluster) AS records,
+ {', '.join(f"{hu(f'k_{c}', 4)} AS {c}" for c in COLUMNS)}, (SELECT {hu('sum(near.d)', 1)} FROM a{last}) AS cost FROM c{last} k"""
+
+
+@query("kmeans_from_centers", R + _lloyd())
+def kmeans_from_centers(spark, sf_dir):
+    """(cluster, records, center, cost of all) after a fixed number of rounds from given centers."""
+    scaled = materialize(_scaled(spark, sf_dir).select(*READINGS.key, *Z), "scaled")
+    fit = K.fit_from_centers(scaled, Z, CENTERS, LLOYD_ROUNDS, tolerance=0.0)
+    rows = [(i, *center, fit.cost) for i, center in enumerate(fit.centers)]
+    found = spark.createDataFrame(rows, "cluster int, " + ", ".join(f"{c} double" for c in COLUMNS) + ", cost double")
+    records = K.assign_centers(scaled, Z, fit.centers).groupBy("cluster").agg(F.count(F.lit(1)).alias("records"))
+    rounded = [half_up(F.col(c), 4).alias(c) for c in COLUMNS] + [half_up(F.col("cost"), 1).alias("cost")]
+    return found.join(F.broadcast(records), "cluster", "left").select("cluster", F.coalesce("records", F.lit(0)).alias("records"), *rounded)
+
+
 @query("k_sweep")
 def k_sweep(spark, sf_dir):
     return sweep(readings(spark, sf_dir), READINGS)
