@@ -13,6 +13,7 @@ from wattframe.operators.encoding import slot_table, stored_domains
 from wattframe.operators.splitting import split_random, split_stratified
 from wattframe.operators.validation import class_input_check, energy_input_check, validate
 from wattframe.roles import METERED
+from wattframe.session import materialize
 from workload.readings import READINGS
 
 CLASSES = METERED.category_order
@@ -189,3 +190,19 @@ def test_missing_floor_area_is_filled_by_type(spark):
     filled = L.with_floor_area(df, L.floor_area_defaults(df, READINGS), READINGS)
     assert sorted((r["building_type"], r["floor_area_sqft"] or -1) for r in filled.collect()) == [
         ("Barn", -1), ("Hall", 50.0), ("Lab", 100.0), ("Lab", 150.0), ("Lab", 200.0)]
+
+
+def test_the_table_of_many_levels_is_never_broadcast(spark, monkeypatch):
+    """Files of a few MB can hold millions of ends, so no side that grows with the levels may go through the driver."""
+    plans = {}
+
+    def recorded(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, label)
+
+    monkeypatch.setattr(L, "materialize", recorded)
+    intervals = spark.range(200).selectExpr("lpad(id, 3, '0') AS level", "id * 2D AS low", "id * 2D + 1 AS high")
+    table = L.nearest_level_table(intervals)
+    assert "SortMergeJoin" in plans["nearest"] and "BroadcastHashJoin" not in plans["nearest"]
+    found = table.of(spark.createDataFrame([(4.5,), (5.4,), (5.6,)], "v double"), F.col("v"), "level").orderBy("v").collect()
+    assert [r["level"] for r in found] == ["002", "002", "003"]

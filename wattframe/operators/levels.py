@@ -72,6 +72,9 @@ def nearest_level_table(intervals: DataFrame) -> NearestLevel:
     The ends are numbered in order; a level covers a range of places on the line of ends and gaps. Each range is cut
     into at most two dyadic pieces per size, the first name per piece is kept, and a place looks up the pieces that
     hold it: n log n rows however the intervals overlap, where joining levels to places could give n squared.
+
+    All sides of the joins grow with the levels. They are merged: files of a few MB hold millions of ends, whose
+    broadcast would have to fit the driver.
     """
     levels = materialize(intervals.where(F.col("low").isNotNull() & F.col("high").isNotNull()).select(
         "level", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")), "levels")
@@ -81,7 +84,7 @@ def nearest_level_table(intervals: DataFrame) -> NearestLevel:
     sizes = range(max(2 * count, 1).bit_length() + 1)
     # the end of number i is place 2i, the gap behind it 2i + 1
     low, high = (number.select(F.col("point").alias(c), (2 * F.col("number")).alias(f"{c}_place")) for c in ("low", "high"))
-    ranges = levels.join(low, "low").join(high, "high")
+    ranges = levels.join(low.hint("merge"), "low").join(high.hint("merge"), "high")
 
     cuts = []
     for k in sizes:
@@ -93,19 +96,20 @@ def nearest_level_table(intervals: DataFrame) -> NearestLevel:
     places = number.select(F.explode(F.array(2 * F.col("number"), 2 * F.col("number") + 1)).alias("place"))
     holding = places.select("place", F.inline(F.array(*[
         F.struct(F.lit(k).alias("size"), F.shiftright("place", k).alias("piece")) for k in sizes])))
-    covered = holding.join(covers, ["size", "piece"]).groupBy("place").agg(F.min("level").alias("level"))
+    covered = holding.join(covers.hint("merge"), ["size", "piece"]).groupBy("place").agg(F.min("level").alias("level"))
     at = covered.where(F.col("place") % 2 == 0).select((F.col("place") / 2).cast("bigint").alias("number"), F.col("level").alias("at"))
     between = covered.where(F.col("place") % 2 == 1).select(
         F.shiftright("place", 1).alias("number"), F.col("level").alias("between"))
     ending = levels.groupBy(F.col("high").alias("point")).agg(F.min("level").alias("left"))
     beginning = levels.groupBy(F.col("low").alias("point")).agg(F.min("level").alias("right"))
-    begun = number.join(beginning, "point", "left")
+    begun = number.join(beginning.hint("merge"), "point", "left")
     # one more stretch comes before the first end
     before = begun.sparkSession.range(1).select(F.lit(float("-inf")).alias("point"), F.lit(-1).cast("bigint").alias("number"))
     following = begun.select((F.col("number") - 1).alias("number"), F.col("point").alias("next_point"), "right")
     stretches = (
-        number.select("point", "number").unionByName(before).join(following, "number", "left")
-        .join(ending, "point", "left").join(at, "number", "left").join(between, "number", "left"))
+        number.select("point", "number").unionByName(before).join(following.hint("merge"), "number", "left")
+        .join(ending.hint("merge"), "point", "left").join(at.hint("merge"), "number", "left")
+        .join(between.hint("merge"), "number", "left"))
     bucket = F.floor((F.col("number") + 1) / BUCKET).cast("int")
     end = F.struct("point", "next_point", "at", "between", "left", "right")
     rows = stretches.groupBy(bucket.alias("bucket")).agg(F.array_sort(F.collect_list(end)).alias("ends"))
