@@ -99,3 +99,19 @@ def test_limit_and_order(readings):
 def test_thresholds(support, confidence):
     with pytest.raises(ArgumentError):
         I.check_thresholds(support, confidence)
+
+
+def test_baskets_of_a_task_are_bounded(spark, monkeypatch):
+    seen = []
+
+    class Watched(I.FPGrowth):
+        def fit(self, baskets):
+            seen.append(baskets.rdd.getNumPartitions())
+            return super().fit(baskets)
+
+    monkeypatch.setattr(I, "FPGrowth", Watched)
+    monkeypatch.setattr(I, "PARTITION_BASKETS", 10)
+    baskets = spark.range(0, 95, 1, 2).selectExpr("array('a', concat('b', id % 2)) AS items")
+    sets = {tuple(r["items"]): r["n"] for r in I.basket_itemsets(baskets, 0.1).sets.collect()}
+    assert seen == [10]
+    assert sets == {("a",): 95, ("b0",): 48, ("b1",): 47, ("a", "b0"): 48, ("a", "b1"): 47}
