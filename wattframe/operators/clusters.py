@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,6 +53,10 @@ class KMeansFit:
 
 #: Coordinates are counted in these units, so that sums are whole numbers and do not depend on the order of rows.
 GRID = 2**20
+#: Points that a task hands to numpy at once.
+BLOCK = 4096
+#: Ranks of centers that differ by less than this share of the squared lengths are settled by direct distances.
+CLOSE = 1e-12
 #: Starts choose their first centers among at most this many rows, the first by a hash of the row.
 SEED_ROWS = 1000
 #: A start ends when its centers together move by less than this squared distance.
@@ -71,56 +75,109 @@ def _first_centers(rows: np.ndarray, k: int, seed: int) -> np.ndarray:
     return np.array(chosen, float)
 
 
-def _cell_sums(points: DataFrame, width: int, fits: Mapping[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def _direct(x: np.ndarray, center: np.ndarray) -> np.ndarray:
+    """Squared distances of points (columns of `x`) to a center, added up coordinate by coordinate."""
+    total = (x[0] - center[0]) * (x[0] - center[0])
+    for j in range(1, len(center)):
+        total += (x[j] - center[j]) * (x[j] - center[j])
+    return total
+
+
+def _nearest(x: np.ndarray, centers: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+    """(center, point): whether the center is the nearest of its fit, the first on ties; `sizes` centers a fit.
+
+    Products of matrices rank the centers. Where more than one is within the error of that of the lowest, distances
+    are added up directly.
+    """
+    weight = (centers * centers).sum(axis=1)
+    score = np.column_stack([-2.0 * centers, weight]) @ np.vstack([x, np.ones(x.shape[1])])
+    slack = CLOSE * ((x * x).sum(axis=0).max() + weight.max())
+    hot = np.empty(score.shape, bool)
+    start = 0
+    for size in sizes:
+        own = slice(start, start + size)
+        start += size
+        near = hot[own]
+        np.less_equal(score[own], score[own].min(axis=0) + slack, out=near)
+        if np.count_nonzero(near) > near.shape[1]:
+            tied = np.flatnonzero(near.sum(axis=0) > 1)
+            exact = np.array([_direct(x[:, tied], c) for c in centers[own]])
+            near[:, tied] = np.arange(size)[:, None] == exact.argmin(axis=0)
+    return hot
+
+
+def _block_sums(blocks: Iterator[pa.RecordBatch], width: int, centers: np.ndarray, sizes: Sequence[int],
+                ) -> Iterator[pa.RecordBatch]:
+    """Per center the number of points nearest to it and their sums, of all blocks of a task."""
+    # sums are Python's whole numbers: one that does not fit a column fails instead of wrapping around
+    n, sums = np.zeros(len(centers), np.int64), np.zeros((len(centers), width), object)
+    for batch in blocks:
+        for data in batch.column(0):
+            whole = np.frombuffer(data.as_buffer(), np.int64).reshape(width, -1)
+            hot = _nearest(whole / float(GRID), centers, sizes)
+            # doubles add up whole numbers exactly below 2^53
+            kind = np.float64 if np.abs(whole).max() < 2**53 // BLOCK else object
+            found = hot.astype(kind) @ np.vstack([whole, np.ones_like(whole[:1])]).T.astype(kind)
+            sums += found[:, :-1].astype(np.int64) if kind is np.float64 else found[:, :-1]
+            n += found[:, -1].astype(np.int64)
+    names = ["center", "n", *[f"s{j}" for j in range(width)]]
+    yield pa.RecordBatch.from_arrays([
+        pa.array(range(len(centers)), pa.int32()), pa.array(n), *[pa.array(list(v), pa.int64()) for v in sums.T]], names)
+
+
+def _cell_sums(blocks: DataFrame, width: int, fits: Mapping[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Per fit the number of rows and the coordinate sums of each of its centers, all fits in one aggregation.
 
-    Every row meets every fit once, as one further row that goes straight into the sums of its task; what is
-    shuffled is one row per fit, center and task.
+    Every point meets the centers of all fits in its task; what is shuffled is one row per center and task.
     """
-    most = max(len(c) for c in fits.values())
-    centers = [f"c{i}" for i in range(most)]
-    rows = [{"fit": fit} | dict(zip(centers, c.tolist(), strict=False)) for fit, c in fits.items()]
-    kind = f"array<struct<fit: int, {', '.join(f'{c}: array<double>' for c in centers)}>>"
-    # one text, as rounds are many and building the same from columns takes longer than counting
-    steps = {c: " + ".join(f"(x{j} / {float(GRID)}D - {c}[{j}]) * (x{j} / {float(GRID)}D - {c}[{j}])" for j in range(width)) for c in centers}
-    nearest = " ".join(f"WHEN {c} = least({', '.join(centers)}, double('inf')) THEN {i}" for i, c in enumerate(centers))
-    sums = points.sparkSession.sql(
-        f"""SELECT fit, CASE {nearest} END AS cell, count(*) AS n, {', '.join(f'sum(x{j}) AS s{j}' for j in range(width))}
-        FROM (SELECT fit, {', '.join(f'x{j}' for j in range(width))}, {', '.join(f'{d} AS {c}' for c, d in steps.items())}
-              FROM (SELECT *, inline(from_json(:rows, '{kind}')) FROM {{points}}))
-        GROUP BY 1, 2""", {"rows": json.dumps(rows)}, points=points)
-    found = {fit: (np.zeros(len(c)), np.zeros((len(c), width))) for fit, c in fits.items()}
-    for row in sums.collect():
-        n, total = found[row["fit"]]
-        n[row["cell"]] = row["n"]
-        total[row["cell"]] = [row[f"s{j}"] / GRID for j in range(width)]
-    return found
+    centers, sizes = np.concatenate(list(fits.values())), [len(c) for c in fits.values()]
+    counted = blocks.mapInArrow(
+        lambda batches: _block_sums(batches, width, centers, sizes),
+        "center int, n bigint, " + ", ".join(f"s{j} bigint" for j in range(width)))
+    summed = counted.groupBy("center").agg(F.sum("n").alias("n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)])
+    n, total = np.zeros(len(centers)), np.zeros((len(centers), width))
+    for row in summed.collect():
+        n[row["center"]] = row["n"]
+        total[row["center"]] = [row[f"s{j}"] / GRID for j in range(width)]
+    ends = np.cumsum(sizes)[:-1]
+    return dict(zip(fits, zip(np.split(n, ends), np.split(total, ends), strict=True), strict=True))
 
 
 def _points(scaled: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows without a null as whole numbers x0, x1, …, written."""
-    known = scaled.select(*[F.round(F.col(c).cast("double") * GRID).cast("bigint").alias(f"x{j}") for j, c in enumerate(columns)]).dropna()
-    return materialize(dealt(known), "points")
+    """Rows without a null as whole numbers x0, x1, …"""
+    return scaled.select(*[F.round(F.col(c).cast("double") * GRID).cast("bigint").alias(f"x{j}") for j, c in enumerate(columns)]).dropna()
+
+
+def _blocks(points: DataFrame) -> DataFrame:
+    """The points in blocks of up to `BLOCK`, coordinate after coordinate, written: rounds read them many times over."""
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = np.array([c.to_numpy() for c in batch.columns], np.int64)
+            data = [whole[:, i:i + BLOCK].tobytes() for i in range(0, whole.shape[1], BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["data"])
+
+    return materialize(dealt(points.mapInArrow(packed, "data binary")), "points")
 
 
 def _advance(points: DataFrame, width: int, first: Mapping[int, np.ndarray], rounds: int, tolerance: float,
              ) -> tuple[dict[int, np.ndarray], dict[int, float]]:
     """The centers of every fit after so many rounds, or once they stand still, and their costs."""
     names = [f"x{j}" for j in range(width)]
+    blocks = _blocks(points)
     squares = points.agg(*[F.sum(F.col(n).cast("decimal(19,0)") * F.col(n).cast("decimal(19,0)")).alias(n) for n in names]).first()
     whole = sum(float(v or 0) for v in squares) / GRID**2
     centers, moving = dict(first), dict(first)
     for _ in range(rounds):
         if not moving:
             break
-        for i, (n, total) in _cell_sums(points, width, moving).items():
+        for i, (n, total) in _cell_sums(blocks, width, moving).items():
             moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], moving[i])
             shift = ((moved - moving[i]) ** 2).sum()
             centers[i] = moving[i] = moved
             if shift <= tolerance:
                 del moving[i]
     costs = {}
-    for i, (n, total) in _cell_sums(points, width, centers).items():
+    for i, (n, total) in _cell_sums(blocks, width, centers).items():
         # sum |x - c|^2 = sum |x|^2 - 2 c . sum x + n |c|^2
         costs[i] = max(whole + float((n * (centers[i] ** 2).sum(axis=1) - 2 * (centers[i] * total).sum(axis=1)).sum()), 0.0)
     return centers, costs
