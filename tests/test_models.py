@@ -10,7 +10,8 @@ from wattframe.plans.quality import quality_report
 from wattframe.plans.scoring import classify_records, predict_records
 from wattframe.plans.regression import regression_report
 from wattframe.session import scratch_dir
-from wattframe.sources.model_store import fit_or_load
+from wattframe.sources.model_store import StoredModel, fit_or_load
+from workload import model_queries
 from workload.readings import RAW, READINGS, readings_raw
 
 
@@ -141,3 +142,27 @@ def test_energy_of_records(spark, readings):
     scored = predict_records(rows.unionAll(odd), report.model, report.domains, ["reading_id"], READINGS)
     assert scored.where("error = 'Unknown building type.' AND energy_kwh IS NULL").count() == 50
     assert scored.where("error IS NULL AND energy_kwh > 0 AND co2_kg > 0").count() == 50
+
+
+def test_rows_of_a_fit_partition_are_bounded(spark, monkeypatch):
+    rows = spark.range(1000).selectExpr("id", "id % 7 AS x")
+    assert T.settled(rows, ["id", "x"]).rdd.getNumPartitions() == T.FIT_PARTITIONS == 16
+    monkeypatch.setattr(T, "PARTITION_ROWS", 10)
+    sizes = T.settled(rows, ["id", "x"]).rdd.glom().map(len).collect()
+    assert len(sizes) == 100 and sum(sizes) == 1000 and max(sizes) < 40
+    forest = T.fit_forest(spark.range(60).selectExpr("1 AS hour", "id * 1D AS energy_consumption_kwh", "'a' AS building_type", *[
+        f"id * 1D AS {c}" for c in READINGS.regression_numeric if c != "hour"]), READINGS, trees=2, max_depth=2)
+    assert not T.tree_of(forest).getCacheNodeIds()  # ids per row and tree took more room than the rows
+
+
+def test_model_store_is_tried_on_another_order_without_a_fixed_number_of_tasks(spark, sf_dir, monkeypatch):
+    frames = []
+
+    def seen(spark, path, frame, depth, fit):
+        frames.append(frame)
+        return StoredModel(None, False)
+
+    monkeypatch.setattr(model_queries, "fit_or_load", seen)
+    monkeypatch.setattr(model_queries.T, "predict_category", lambda frame, model: frame)
+    assert [r["records"] for r in model_queries.model_store(spark, sf_dir).collect()] == [frames[0].count()] * 3
+    assert "REPARTITION_BY_COL" in frames[1]._jdf.queryExecution().executedPlan().toString()

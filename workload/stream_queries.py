@@ -88,7 +88,9 @@ def stream_scoring(spark, sf_dir):
        f"SELECT reading_id, {_ENERGY_ERROR} AS error, CASE WHEN error IS NULL THEN true END AS predicted FROM records, domains")
 def stream_energy(spark, sf_dir):
     """The same with energy, cost and emissions from a forest."""
-    history = materialize(split_random(readings(spark, sf_dir), READINGS.key), "history")
+    needed = [*READINGS.key, *READINGS.regression_numeric, *READINGS.class_categorical, READINGS.measure]
+    rows = readings(spark, sf_dir).select(*dict.fromkeys(needed))
+    history = materialize(split_random(rows, READINGS.key), "history")
     model = T.fit_forest(history.where("side = 'train'"), READINGS, trees=5, max_depth=6)
     check = energy_input_check(domains(history), READINGS)
     return _outcomes(spark, sf_dir, check, lambda batch: T.score_energy(batch, model), F.col("energy_kwh") > 0)
