@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from wattframe.errors import ArgumentError
 from wattframe.operators import clusters as K
 from wattframe.plans.clustering import cluster_profiles, scaled_rows, z_columns
+from workload import cluster_queries
 from workload.readings import READINGS
 
 KEY = ("reading_id", "energy_consumption_kwh")
@@ -158,3 +159,47 @@ def test_fit_from_given_centers(spark):
     assert K.fit_from_centers(table, ["a", "b"], [[3.0, 0.0]], max_iterations=0).centers == [[3.0, 0.0]]
     empty = K.fit_from_centers(table.limit(0), ["a", "b"], [[3.0, 0.0]])
     assert (empty.centers, empty.cost) == ([[3.0, 0.0]], 0.0)
+
+
+def test_nearest_centers_by_products_are_those_by_distances():
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (2, 500)).astype(float)  # many points lie halfway between centers
+    centers = np.array([[1, 0], [-1, 0], [0, 1], [0, 1], [2.5, -1], [1e9, 0], [0.1, 0.2]])
+    sizes = (2, 4, 1)
+    hot, start = K._nearest(x, centers, sizes), 0
+    for size in sizes:
+        own = centers[start:start + size]
+        wanted = np.array([K._direct(x, c) for c in own]).argmin(axis=0)
+        assert (hot[start:start + size].argmax(axis=0) == wanted).all()
+        assert (hot[start:start + size].sum(axis=0) == 1).all()
+        start += size
+
+
+def test_sums_of_large_whole_numbers_are_exact(spark):
+    far = 2**30
+    points = spark.range(5000).selectExpr(f"{far * K.GRID} + id AS x0", "id AS x1")
+    counted = K._cell_sums(K._blocks(points), 2, {4: np.array([[0.0, 0.0], [float(far), 0.0]]), 7: np.array([[1.0, 1.0]])})
+    n, total = counted[4]
+    assert n.tolist() == [0, 5000] and counted[7][0].tolist() == [5000]
+    assert total[1].tolist() == counted[7][1][0].tolist() == [(5000 * far * K.GRID + 4999 * 2500) / K.GRID, 4999 * 2500 / K.GRID]
+
+
+class Seen(Exception):
+    pass
+
+
+def test_stored_profiles_are_tried_on_another_order_without_a_fixed_number_of_tasks(spark, sf_dir, monkeypatch):
+    data = spark.range(3).selectExpr("id AS reading_id", *[f"1D AS {c}" for c in cluster_queries.COLUMNS])
+    monkeypatch.setattr(cluster_queries, "readings", lambda *_: data)
+    frames = []
+
+    def seen(spark, path, frame, *rest, **named):
+        frames.append(frame)
+        if len(frames) == 2:
+            raise Seen
+        return type("Stored", (), {"reused": False, "reports": {"summary": data.selectExpr("3L AS records"), "profile": data}})
+
+    monkeypatch.setattr(cluster_queries, "stored_profiles", seen)
+    with pytest.raises(Seen):
+        cluster_queries.profiles_store(spark, sf_dir)
+    assert "REPARTITION_BY_COL" in frames[1]._jdf.queryExecution().executedPlan().toString()

@@ -235,7 +235,7 @@ def profiles_store(spark, sf_dir):
     data = materialize(readings(spark, sf_dir).select(*READINGS.key, *COLUMNS), "profiled")
     changed = data.withColumn("temperature_c", F.col("temperature_c") + F.when(F.col("reading_id") % 1000 == 0, 1).otherwise(0))
     path, rows = scratch_dir(spark, "profiles"), []
-    for attempt, (frame, k) in enumerate(((data, 3), (data.repartition(3, "temperature_c"), 3), (data, 2), (changed, 3)), start=1):
+    for attempt, (frame, k) in enumerate(((data, 3), (data.repartition(*data.columns), 3), (data, 2), (changed, 3)), start=1):
         stored = stored_profiles(spark, path, frame, READINGS, k, restarts=1)
         rows.append((attempt, k, stored.reused, stored.reports["summary"].first()["records"], stored.reports["profile"].count()))
     return spark.createDataFrame(rows, "attempt int, k int, reused boolean, records long, clusters long")
