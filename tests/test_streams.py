@@ -99,3 +99,22 @@ def test_scoring_quarantines_and_survives_a_restart(spark, fail_first):
     quarantined = spark.read.parquet(bad).collect()
     assert sorted(r["id"] for r in quarantined) == list(range(24, 30))
     assert {r["error"] for r in quarantined} == {"Hour must be between 0 and 23."}
+
+
+def test_no_batch_is_kept_in_memory(spark):
+    folder, good, bad, checkpoint = (scratch_dir(spark, n) for n in ("records", "good", "bad", "ck"))
+    rows = [(i, *["7"] * 5, str(i), "Lab", "Low", "High") for i in range(30)]
+    schema = "id int, " + ", ".join(f"{c} string" for c in FIELDS)
+    spark.createDataFrame(rows, schema).write.parquet(folder)
+    pairs = [(c, v) for c, values in DOMAINS.items() for v in values]
+    known = stored_domains(spark.createDataFrame(pairs, "column string, value string"), list(DOMAINS))
+    plans = []
+
+    def score(batch):
+        plans.append(batch._jdf.queryExecution().executedPlan().toString())
+        return batch
+
+    score_stream(spark.readStream.schema(schema).parquet(folder), class_input_check(known), score, good, bad,
+                 checkpoint).awaitTermination()
+    assert plans and not [p for p in plans if "InMemory" in p]
+    assert spark.read.parquet(good).count() == 24 and spark.read.parquet(bad).count() == 6
