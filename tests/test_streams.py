@@ -116,5 +116,5 @@ def test_no_batch_is_kept_in_memory(spark):
 
     score_stream(spark.readStream.schema(schema).parquet(folder), class_input_check(known), score, good, bad,
                  checkpoint).awaitTermination()
-    assert plans and not [p for p in plans if "InMemory" in p]
+    assert plans and not [p for p in plans if "InMemoryTableScan" in p]
     assert spark.read.parquet(good).count() == 24 and spark.read.parquet(bad).count() == 6
