@@ -1,5 +1,8 @@
+import math
+
 import numpy as np
 import pytest
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import functions as F
 
 from wattframe.errors import ArgumentError
@@ -203,3 +206,40 @@ def test_stored_profiles_are_tried_on_another_order_without_a_fixed_number_of_ta
     with pytest.raises(Seen):
         cluster_queries.profiles_store(spark, sf_dir)
     assert "REPARTITION_BY_COL" in frames[1]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_whole_numbers_are_those_of_round(spark):
+    values = [0.5, -0.5, 1.5, -2.5, 0.49999999999999994, -0.49999999999999994, 2.0**52 + 0.5, -(2.0**60), 1e18, 3.2, -3.7, 0.0, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(
+        K._whole(F.col("v")).alias("ours"), F.round("v").cast("bigint").alias("wanted")).collect()
+    assert [r["ours"] for r in rows] == [r["wanted"] for r in rows] and rows[3]["ours"] == -3
+
+
+def test_blocks_are_narrow_and_know_their_squares(spark, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK", 100)
+    for far, size in ((1, 4), (2**40, 8)):
+        points = spark.range(250).selectExpr(f"(id - 100) * {far} AS x0", "id AS x1")
+        rows = K._blocks(points).collect()
+        assert sum(r["n"] for r in rows) == 250 and all(len(r["data"]) == size * 2 * r["n"] for r in rows)
+        assert sum(int(r["q0"]) for r in rows) == far**2 * sum((i - 100) ** 2 for i in range(250))
+        assert max(r["longest"] for r in rows) >= (149**2 * far**2 + 249**2) / K.GRID**2
+
+
+def test_rounds_get_few_blocks_at_once_and_leave_the_session_as_it_was(spark, monkeypatch):
+    seen, name, blocks = [], "spark.sql.execution.arrow.maxRecordsPerBatch", K._blocks(spark.range(9).selectExpr("id AS x0"))
+    before, collect = spark.conf.get(name), type(blocks).collect
+    monkeypatch.setattr(type(blocks), "collect", lambda df: (seen.append(spark.conf.get(name)), collect(df))[1])
+    K._cell_sums(blocks, 1, {0: np.array([[1.0]])})
+    assert seen[-1] == str(K.BATCH) and spark.conf.get(name) == before
+
+
+def test_projection_is_that_of_the_library_and_needs_whole_rows(spark):
+    table = spark.range(400).selectExpr("id", "hash(id) % 100 / 10D AS a", "hash(id, 1) % 50 / 9D AS b").selectExpr("a", "b", "2 * a - b + hash(id) % 7 AS c")
+    found = K.fit_projection(table, ["a", "b", "c"])
+    model = PCA(k=2, inputCol="f", outputCol="p").fit(VectorAssembler(inputCols=["a", "b", "c"], outputCol="f").transform(table))
+    for j, loading in enumerate(found.loadings):
+        wanted = model.pc.toArray()[:, j]
+        assert loading == pytest.approx(wanted * np.sign(wanted[np.abs(wanted).argmax()]), abs=1e-9)
+    assert found.explained == [math.floor(v * 1000 + 0.5) / 10 for v in model.explainedVariance.toArray()]
+    with pytest.raises(ArgumentError, match="all numbers"):
+        K.fit_projection(table.selectExpr("nullif(a, 1) AS a", "if(b > 1, b, null) AS b"), ["a", "b"])

@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from wattframe.functions.labels import sentence_case
 from wattframe.functions.numbers import half_up
 from wattframe.operators.evaluation import sample_rows
 from wattframe.roles import METERED, Roles
-from wattframe.session import dealt, materialize
+from wattframe.session import dealt, materialize, rows_a_batch
 
 # Allowed numbers of clusters, limits, words and the text for an unremarkable cluster.
 ALLOWED_K = (2, 3, 4, 5)
@@ -55,6 +55,8 @@ class KMeansFit:
 GRID = 2**20
 #: Points that a task hands to numpy at once.
 BLOCK = 4096
+#: Blocks that a task is sent at once.
+BATCH = 64
 #: Ranks of centers that differ by less than this share of the squared lengths are settled by direct distances.
 CLOSE = 1e-12
 #: Starts choose their first centers among at most this many rows, the first by a hash of the row.
@@ -83,15 +85,20 @@ def _direct(x: np.ndarray, center: np.ndarray) -> np.ndarray:
     return total
 
 
-def _nearest(x: np.ndarray, centers: np.ndarray, sizes: Sequence[int]) -> np.ndarray:
+def _nearest(x: np.ndarray, centers: np.ndarray, sizes: Sequence[int], points: np.ndarray | None = None,
+             longest: float | None = None) -> np.ndarray:
     """(center, point): whether the center is the nearest of its fit, the first on ties; `sizes` centers a fit.
 
     Products of matrices rank the centers. Where more than one is within the error of that of the lowest, distances
-    are added up directly.
+    are added up directly. `points`, the coordinates over a line of ones, and the `longest` squared length may be known.
     """
+    if points is None:
+        points = np.vstack([x, np.ones(x.shape[1])])
+    if longest is None:
+        longest = (x * x).sum(axis=0).max()
     weight = (centers * centers).sum(axis=1)
-    score = np.column_stack([-2.0 * centers, weight]) @ np.vstack([x, np.ones(x.shape[1])])
-    slack = CLOSE * ((x * x).sum(axis=0).max() + weight.max())
+    score = np.column_stack([-2.0 * centers, weight]) @ points
+    slack = CLOSE * (longest + weight.max())
     hot = np.empty(score.shape, bool)
     start = 0
     for size in sizes:
@@ -111,15 +118,23 @@ def _block_sums(blocks: Iterator[pa.RecordBatch], width: int, centers: np.ndarra
     """Per center the number of points nearest to it and their sums, of all blocks of a task."""
     # sums are Python's whole numbers: one that does not fit a column fails instead of wrapping around
     n, sums = np.zeros(len(centers), np.int64), np.zeros((len(centers), width), object)
+    points, step = np.ones((width + 1, BLOCK)), 1.0 / GRID
     for batch in blocks:
-        for data in batch.column(0):
-            whole = np.frombuffer(data.as_buffer(), np.int64).reshape(width, -1)
-            hot = _nearest(whole / float(GRID), centers, sizes)
-            # doubles add up whole numbers exactly below 2^53
-            kind = np.float64 if np.abs(whole).max() < 2**53 // BLOCK else object
-            found = hot.astype(kind) @ np.vstack([whole, np.ones_like(whole[:1])]).T.astype(kind)
-            sums += found[:, :-1].astype(np.int64) if kind is np.float64 else found[:, :-1]
-            n += found[:, -1].astype(np.int64)
+        for data, rows, longest in zip(*(batch.column(i) for i in range(3)), strict=True):
+            buffer, count = data.as_buffer(), rows.as_py()
+            narrow = buffer.size == 4 * width * count
+            whole = np.frombuffer(buffer, np.int32 if narrow else np.int64).reshape(width, -1)
+            here = points[:, :count]
+            x = np.multiply(whole, step, out=here[:-1])
+            hot = _nearest(x, centers, sizes, here, longest.as_py())
+            # doubles add up whole numbers, and so multiples of the unit, exactly below 2^53
+            if narrow or np.abs(whole).max() < 2**53 // BLOCK:
+                found = hot.astype(np.float64) @ here.T
+                sums += (found[:, :-1] * GRID).astype(np.int64)
+                n += found[:, -1].astype(np.int64)
+            else:
+                sums += hot.astype(object) @ whole.T.astype(object)
+                n += hot.sum(axis=1)
     names = ["center", "n", *[f"s{j}" for j in range(width)]]
     yield pa.RecordBatch.from_arrays([
         pa.array(range(len(centers)), pa.int32()), pa.array(n), *[pa.array(list(v), pa.int64()) for v in sums.T]], names)
@@ -131,40 +146,65 @@ def _cell_sums(blocks: DataFrame, width: int, fits: Mapping[int, np.ndarray]) ->
     Every point meets the centers of all fits in its task; what is shuffled is one row per center and task.
     """
     centers, sizes = np.concatenate(list(fits.values())), [len(c) for c in fits.values()]
-    counted = blocks.mapInArrow(
+    counted = blocks.select("data", "n", "longest").mapInArrow(
         lambda batches: _block_sums(batches, width, centers, sizes),
         "center int, n bigint, " + ", ".join(f"s{j} bigint" for j in range(width)))
     summed = counted.groupBy("center").agg(F.sum("n").alias("n"), *[F.sum(f"s{j}").alias(f"s{j}") for j in range(width)])
     n, total = np.zeros(len(centers)), np.zeros((len(centers), width))
-    for row in summed.collect():
+    with rows_a_batch(blocks.sparkSession, BATCH):
+        sums = summed.collect()
+    for row in sums:
         n[row["center"]] = row["n"]
         total[row["center"]] = [row[f"s{j}"] / GRID for j in range(width)]
     ends = np.cumsum(sizes)[:-1]
     return dict(zip(fits, zip(np.split(n, ends), np.split(total, ends), strict=True), strict=True))
 
 
+def _whole(x: Column) -> Column:
+    """The nearest whole number, halves away from zero; what `round` gives, which takes longer as it counts in decimals."""
+    near = x.cast("bigint")
+    rest = x - near
+    return near + F.when(rest >= 0.5, 1).when(rest <= -0.5, -1).otherwise(0)
+
+
 def _points(scaled: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows without a null as whole numbers x0, x1, …"""
-    return scaled.select(*[F.round(F.col(c).cast("double") * GRID).cast("bigint").alias(f"x{j}") for j, c in enumerate(columns)]).dropna()
+    return scaled.select(*[_whole(F.col(c).cast("double") * GRID).alias(f"x{j}") for j, c in enumerate(columns)]).dropna()
+
+
+def _packed(whole: np.ndarray) -> tuple[bytes, int, float, list[int]]:
+    """Coordinate after coordinate, the number of points, a bound of their squared lengths, per coordinate the sum of squares."""
+    reach = [max(abs(int(x.min())), abs(int(x.max()))) for x in whole]
+    # squares below 2^50 add up in 64 bits
+    squares = [int(x @ x) if far < 2**25 else sum(int(v) ** 2 for v in x) for x, far in zip(whole, reach, strict=True)]
+    data = whole.astype(np.int32) if max(reach) < 2**31 else whole
+    return data.tobytes(), whole.shape[1], sum((far / GRID) ** 2 for far in reach), squares
 
 
 def _blocks(points: DataFrame) -> DataFrame:
-    """The points in blocks of up to `BLOCK`, coordinate after coordinate, written: rounds read them many times over."""
+    """The points in blocks of up to `BLOCK`, written: rounds read them many times over."""
+    squares = [f"q{j}" for j in range(len(points.columns))]
+
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             whole = np.array([c.to_numpy() for c in batch.columns], np.int64)
-            data = [whole[:, i:i + BLOCK].tobytes() for i in range(0, whole.shape[1], BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(data, pa.binary())], ["data"])
+            data, n, longest, sums = zip(*[_packed(whole[:, i:i + BLOCK]) for i in range(0, whole.shape[1], BLOCK)], strict=True)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(data, pa.binary()), pa.array(n, pa.int32()), pa.array(longest, pa.float64()),
+                *[pa.array([Decimal(v) for v in q], pa.decimal128(38, 0)) for q in zip(*sums, strict=True)],
+            ], ["data", "n", "longest", *squares])
 
-    return materialize(dealt(points.mapInArrow(packed, "data binary")), "points")
+    schema = "data binary, n int, longest double, " + ", ".join(f"{q} decimal(38,0)" for q in squares)
+    return materialize(dealt(points.mapInArrow(packed, schema)), "points")
 
 
 def _advance(points: DataFrame, width: int, first: Mapping[int, np.ndarray], rounds: int, tolerance: float,
              ) -> tuple[dict[int, np.ndarray], dict[int, float]]:
     """The centers of every fit after so many rounds, or once they stand still, and their costs."""
-    names = [f"x{j}" for j in range(width)]
     blocks = _blocks(points)
-    squares = points.agg(*[F.sum(F.col(n).cast("decimal(19,0)") * F.col(n).cast("decimal(19,0)")).alias(n) for n in names]).first()
+    squares = blocks.agg(*[F.sum(f"q{j}") for j in range(width)]).first()
     whole = sum(float(v or 0) for v in squares) / GRID**2
     centers, moving = dict(first), dict(first)
     for _ in range(rounds):
@@ -374,16 +414,23 @@ class Projection:
 
 
 def fit_projection(scaled: DataFrame, columns: Sequence[str], components: int = 2) -> Projection:
-    """Principal components; each one turned so that its largest loading is positive."""
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled).select("features")
-    model = PCA(k=components, inputCol="features", outputCol="pc").fit(vectors)
-    matrix = model.pc.toArray()
+    """Principal components from covariances, one aggregation; each one turned so that its largest loading is positive."""
+    numbers = [F.col(c).cast("double") for c in columns]
+    pairs = [(i, j) for i in range(len(numbers)) for j in range(i, len(numbers))]
+    gaps = [F.count_if(x.isNull() | F.isnan(x)) for x in numbers]
+    found = scaled.agg(F.count(F.lit(1)), *gaps, *[F.covar_samp(numbers[i], numbers[j]) for i, j in pairs]).first()
+    if found[0] < 2 or any(found[1:len(numbers) + 1]):
+        raise ArgumentError("Principal components need two rows at least, and all numbers.")
+    covariance = np.zeros((len(numbers), len(numbers)))
+    for (i, j), v in zip(pairs, found[len(numbers) + 1:], strict=True):
+        covariance[i, j] = covariance[j, i] = v
+    matrix, variances, _ = np.linalg.svd(covariance)
     loadings = []
     for j in range(components):
         loading = [float(v) for v in matrix[:, j]]
         turn = math.copysign(1.0, max(loading, key=abs))
         loadings.append([turn * v for v in loading])
-    explained = [math.floor(float(v) * 1000 + 0.5) / 10 for v in model.explainedVariance.toArray()]
+    explained = [math.floor(float(v / variances.sum()) * 1000 + 0.5) / 10 for v in variances[:components]]
     return Projection(tuple(columns), loadings, explained)
 
 
